@@ -2,9 +2,11 @@
 
 from .bpe import op9_byte_bpe
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .ngram_join import op10_ngram_join
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL}
