@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, over_arrow, slices, staged
 from .components import components
-from .textbytes import FOLD, NOT_SPACE, U64, mix, shingles, utf8, word_hashes, word_spans
+from .textbytes import FOLD, NOT_SPACE, U64, mix, several, shingles, utf8, word_hashes, word_spans
 
 WIDTH = 5
 #: Highest over lowest size of a band; 5/4 is the least with which a partner is at most one band away.
@@ -179,8 +179,7 @@ def _shared(table: pa.Table) -> pa.Table:
     doc = np.frombuffer(b"".join(x.as_py() for x in table["docs"]), np.int64)
     order = np.argsort(sig, kind="stable")
     sig, doc = sig[order], doc[order]
-    same = sig[1:] == sig[:-1]
-    many = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    many = several(sig)
     return pa.table({"sig": sig[many].view(np.int64), "doc": doc[many]})
 
 

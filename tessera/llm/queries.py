@@ -3,9 +3,11 @@
 from .bpe import op9_byte_bpe
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op10_ngram_join
+from .substring_dedup import op5_substring_dedup
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_join": op10_ngram_join,
 }

@@ -145,3 +145,9 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
         else:
             out[inside] = mix(out[inside] * U64(BASE) + words[start[inside] + k])
     return out + length.astype(np.uint64), at
+
+
+def several(values: np.ndarray) -> np.ndarray:
+    """Of sorted values: which have an equal one beside them."""
+    same = values[1:] == values[:-1]
+    return np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(values) else np.zeros(0, bool)
