@@ -5,11 +5,13 @@ from .decontaminate import op3_decontamination
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op10_ngram_join
 from .substring_dedup import op5_substring_dedup
+from .token_records import op8_token_records
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
+    "op8_token_records": op8_token_records,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_join": op10_ngram_join,
 }
