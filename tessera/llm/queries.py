@@ -4,12 +4,14 @@ from .bpe import op9_byte_bpe
 from .decontaminate import op3_decontamination
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op10_ngram_join
+from .spotsigs import op4_spotsigs
 from .substring_dedup import op5_substring_dedup
 from .token_records import op8_token_records
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_spotsigs": op4_spotsigs,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_token_records": op8_token_records,
     "op9_byte_bpe": op9_byte_bpe,
