@@ -2,6 +2,7 @@
 
 from .bpe import op9_byte_bpe
 from .decontaminate import op3_decontamination
+from .language_id import op6_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op10_ngram_join
 from .spotsigs import op4_spotsigs
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_spotsigs": op4_spotsigs,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_language_id": op6_language_id,
     "op8_token_records": op8_token_records,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_join": op10_ngram_join,
