@@ -13,9 +13,9 @@ Such sets differ in at most (|A| + |B|) / 9 elements, and the larger has at most
   neither has the assurance.
 * A text that shares fewer signatures than it needs, with all others together, has no link and goes.
 
-Equal sets are one node, the least id of them. In each signature's group all are compared with the least; then
-links make components, and only groups which still hold several components have their members of different
-components compared. So copies are not expanded into pairs and no link between different sets that matters to
+Equal sets are one node, the least id of them. In each signature's group all are compared with the one that shares
+most; then links make components, and only groups which still hold several components have their members of
+different components compared. So copies are not expanded into pairs and no link between different sets that matters to
 the groups is lost. Every comparison is exact on the shingle hashes. Signatures travel in blocks of 16-byte
 records, dealt by their hash; nothing is collected to the driver.
 
@@ -42,6 +42,8 @@ WIDTH = 5
 RATIO = 1.6
 #: Bytes of signature records in a block, and records that a task holds before it deals them out.
 BLOCK_BYTES, HELD = 24 << 20, 2 << 20
+#: Largest group of a signature whose pairs are joined; nodes of a side of a block in larger ones, and columns of a product.
+FEW, BLOCK_NODES, COLUMNS = 40, 1000, 4096
 #: Ids up to which candidates are broadcast to the scan of texts (16 MB); beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -206,6 +208,80 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return over_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "hashes_a", "hashes_b"), _compare, "a long, b long")
 
 
+def _blocks(group: pa.Table) -> pa.Table:
+    """Links that tie parts together, among all pairs of one node from either side of a block: a spanning forest of them."""
+    part = np.array(group["part"])
+    node = np.array(group["node"])
+    one = np.array(group["one"])
+    hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["hashes"]]
+    size = np.array([len(x) for x in hashes])
+    word, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    row = np.repeat(np.arange(len(hashes)), size)
+    first, second = np.flatnonzero(one), np.flatnonzero(~one)
+    there = np.zeros((2, len(word)), bool)
+    there[0, place[one[row]]] = there[1, place[~one[row]]] = True
+    column = np.cumsum(there.all(axis=0)) - 1
+    both = np.zeros((len(first), len(second)), np.int64)
+    kept = there.all(axis=0)[place]
+    row, column = row[kept], column[place[kept]]
+    at = np.empty(len(hashes), np.int64)
+    at[first], at[second] = np.arange(len(first)), np.arange(len(second))
+    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        here = (column >= low) & (column < low + COLUMNS)
+        r, c = row[here], column[here] - low
+        left, right = np.zeros((len(first), COLUMNS), np.float32), np.zeros((len(second), COLUMNS), np.float32)
+        left[at[r[one[r]]], c[one[r]]] = 1
+        right[at[r[~one[r]]], c[~one[r]]] = 1
+        both += (left @ right.T).astype(np.int64)
+    near = 100 * both >= 80 * (size[first][:, None] + size[second][None, :] - both)
+    root = {x: x for x in part.tolist()}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near & (part[first][:, None] != part[second][None, :]))), strict=True):
+        x, y = top(int(part[first[i]])), top(int(part[second[j]]))
+        if x != y:
+            root[x] = y
+            out.append((int(node[first[i]]), int(node[second[j]])))
+    return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+
+def _across(placed: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different parts of the groups of signatures that still hold several.
+
+    In a group of at most FEW nodes each pair of different parts is compared. Larger groups are joined where they
+    share nodes; there, each node outside the largest part is compared with all, in blocks of nodes: a block's pairs
+    are counted by a product of matrices, and only links that tie parts together leave it.
+    """
+    several = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).filter("low < high").select("sig", "size", "lead")
+    placed = staged(placed.join(several, "sig"), "open")
+    few = placed.filter(F.col("size") <= FEW)
+    other = few.select("sig", F.col("node").alias("b"), F.col("part").alias("other"))
+    near = few.join(other, "sig").filter("node < b and part <> other").select(F.col("node").alias("a"), "b").distinct()
+    links = _linked(near.join(pairs, ["a", "b"], "left_anti"), sets)
+    large = placed.filter(F.col("size") > FEW)
+    if large.isEmpty():
+        return links
+    cluster = components(large.select("node", "lead"), "node", "lead")
+    inside = staged(cluster.join(large.select("node", "part").distinct(), "node"), "clusters")
+    count = inside.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = count.groupBy("component").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("all"))
+    largest = largest.select("component", F.col("most.part").alias("main"), "all", (F.col("all") - F.col("most.n")).alias("rest"))
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_NODES)).cast("int")
+    sized = inside.join(largest, "component").join(sets, "node").withColumns({"rows": chunks("rest"), "columns": chunks("all")})
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    body = ["component", "node", "part", "hashes"]
+    one = sized.filter("part <> main").withColumn("r", mine("rows")).select(*body, "r", each("columns").alias("c"), F.lit(True).alias("one"))
+    two = sized.withColumn("c", mine("columns")).select(*body, each("rows").alias("r"), "c", F.lit(False).alias("one"))
+    return links.unionByName(one.unionByName(two).groupBy("component", "r", "c").applyInArrow(_blocks, "a long, b long"))
+
+
 def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the id, n_shingles (size of its set) and component_id (the least id that its links reach, its own included)."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -223,22 +299,20 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     dealt = over_arrow(docs, _sign(blocks), "block int, sigs binary, docs binary").groupBy("block")
     shared = staged(dealt.applyInArrow(_shared, "sig long, doc long"), "shared")
 
-    enough = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).join(nodes.withColumnRenamed("doc_id", "doc"), "doc").filter("n >= need").select("doc", "node")
-    members = staged(shared.join(enough, "doc").select("sig", "node").distinct(), "members")
-    least = members.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last")
-    pairs = staged(members.join(least, "sig").filter("node > a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    enough = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).join(nodes.withColumnRenamed("doc_id", "doc"), "doc").filter("n >= need").select("doc", "node", "n")
+    members = staged(shared.join(enough, "doc").groupBy("sig", "node").agg(F.max("n").alias("n")), "members")
+    # the text that shares most is the one least edited, so most others are near to it
+    lead = members.groupBy("sig").agg(F.max(F.struct("n", (-F.col("node")).alias("node"))).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("sig", (-F.col("lead.node")).alias("lead"))
+    pairs = members.join(lead, "sig").filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
+    pairs = staged(pairs.distinct(), "pairs")
 
-    grouped = members.join(least.select("sig"), "sig").select("node").distinct()
+    grouped = members.join(lead.select("sig"), "sig").select("node").distinct()
     wanted = F.broadcast(grouped) if grouped.count() <= BROADCAST_IDS else grouped
     sets = staged(over_arrow(docs.join(wanted, docs.doc_id == wanted.node, "left_semi"), _hashes, "node long, hashes binary"), "sets")
 
     links = staged(_linked(pairs, sets).unionByName(tied), "linked")
     found = staged(components(links, "a", "b"), "components")
-    placed = members.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
-    placed = staged(placed.join(placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("sig"), "sig"), "open")
-    other = placed.select("sig", F.col("node").alias("b"), F.col("part").alias("other"))
-    across = placed.join(other, "sig").filter("node < b and part <> other").select(F.col("node").alias("a"), "b").distinct()
-    more = staged(_linked(across.join(pairs, ["a", "b"], "left_anti"), sets), "linked")
+    more = staged(_across(members.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part")), pairs, sets), "linked")
     if more.count():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
     where = nodes.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
