@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to Python, and bytes of text that one numpy step takes from it.
-BATCH_ROWS, SLICE_BYTES = 512, 4 << 20
+BATCH_ROWS, SLICE_BYTES = 512, 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -41,7 +41,7 @@ WIDTH = 5
 #: Highest over lowest size of a band; 5/4 is the least with which a partner is at most one band away.
 RATIO = 1.6
 #: Bytes of signature records in a block, and records that a task holds before it deals them out.
-BLOCK_BYTES, HELD = 24 << 20, 2 << 20
+BLOCK_BYTES, HELD = 8 << 20, 1 << 19
 #: Largest group of a signature whose pairs are joined; nodes of a side of a block in larger ones, and columns of a product.
 FEW, BLOCK_NODES, COLUMNS = 40, 1000, 4096
 #: Ids up to which candidates are broadcast to the scan of texts (16 MB); beyond, the texts are joined by shuffle.

@@ -40,7 +40,7 @@ BASE_2, VALUES_2 = 0xD1342543DE82EF95, mix(BYTE_VALUES)
 #: Bytes of text that are parsed at once; places in them take PLACE_BITS bits.
 CHUNK, PLACE_BITS = 8 << 20, 24
 #: Bytes of records in a block, and records that a task holds before it deals them out.
-BLOCK_BYTES, HELD = 24 << 20, 1 << 20
+BLOCK_BYTES, HELD = 8 << 20, 1 << 18
 _NO_ID = -(1 << 63)
 #: Records: two hashes, document, first start, trigger's distance from it, number of starts.
 _RECORD = np.dtype([("a", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("n", "<u2")])
