@@ -8,6 +8,7 @@ from .ngram_join import op10_ngram_join
 from .spotsigs import op4_spotsigs
 from .substring_dedup import op5_substring_dedup
 from .token_records import op8_token_records
+from .url_filter import op7_url_filter
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_spotsigs": op4_spotsigs,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
+    "op7_url_filter": op7_url_filter,
     "op8_token_records": op8_token_records,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_join": op10_ngram_join,
