@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 encode() keeps ids as bytes (little-endian unsigned 32-bit), which pass between Python and the JVM as one
-buffer; ids_array() makes an array of them. Texts are split by the pattern before merging; a long text is
+buffer; unpack() makes an array of them. Texts are split by the pattern before merging; a long text is
 handed over in parts that begin at white space after a non-space, where no match of the pattern can lie
 across, so parts give the ids of the whole. decode() gives raw bytes: ids need not end on a character.
 Null text is an empty text, with no ids; null ids decode to empty bytes. Ids that the rank file lacks raise
@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, over_arrow
@@ -85,13 +85,14 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: s
     return over_arrow(df, _decoder(rank_file, pattern, ids, out), _with(df, out))
 
 
-def ids_array(ids: str = "ids") -> Column:
-    """The ids of a binary column as an array of ints."""
-    count = F.expr(f"cast(octet_length(`{ids}`) div 4 as int)")
-    return F.transform(
-        F.slice(F.sequence(F.lit(0), count), F.lit(1), count),
-        lambda i: F.conv(F.concat(*[F.substring(F.hex(F.col(ids)), i * 8 + 1 + 2 * k, F.lit(2)) for k in (3, 2, 1, 0)]), 16, 10).cast("int"),
-    )
+def unpack(df: DataFrame, ids: str = "ids", out: str = "id_array") -> DataFrame:
+    """Adds the ids of a binary column as an array of ints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column(out, pa.array([np.frombuffer(x or b"", "<u4").astype(np.int32) for x in batch[ids].to_pylist()], pa.list_(pa.int32())))
+
+    return over_arrow(df, run, _with(df, out).removesuffix("binary") + "array<int>")
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:

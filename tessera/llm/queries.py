@@ -8,9 +8,11 @@ from .ngram_join import op10_ngram_join
 from .spotsigs import op4_spotsigs
 from .substring_dedup import op5_substring_dedup
 from .token_records import op8_token_records
+from .toxicity import op1_toxicity
 from .url_filter import op7_url_filter
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_spotsigs": op4_spotsigs,
