@@ -5,7 +5,7 @@ buffer; unpack() makes an array of them. Texts are split by the pattern before m
 handed over in parts that begin at white space after a non-space, where no match of the pattern can lie
 across, so parts give the ids of the whole. decode() gives raw bytes: ids need not end on a character.
 Null text is an empty text, with no ids; null ids decode to empty bytes. Ids that the rank file lacks raise
-an error in decode().
+an error in decode(). A column of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, over_arrow
+from .common import documents, over_arrow, plus
 
 PART_CHARS = 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
@@ -69,20 +69,16 @@ def _decoder(rank_file: str, pattern: str, ids: str, out: str):
     return run
 
 
-def _with(df: DataFrame, column: str) -> str:
-    if column in df.columns:
-        raise ValueError(f"the column {column!r} is there already; name another")
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{column}` binary"])
-
-
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds the ids of each text, as little-endian unsigned 32-bit integers in a binary column."""
-    return over_arrow(df, _encoder(rank_file, pattern, text, out), _with(df, out))
+    df, schema = plus(df, f"`{out}` binary", out)
+    return over_arrow(df, _encoder(rank_file, pattern, text, out), schema)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes of each row's ids."""
-    return over_arrow(df, _decoder(rank_file, pattern, ids, out), _with(df, out))
+    df, schema = plus(df, f"`{out}` binary", out)
+    return over_arrow(df, _decoder(rank_file, pattern, ids, out), schema)
 
 
 def unpack(df: DataFrame, ids: str = "ids", out: str = "id_array") -> DataFrame:
@@ -92,7 +88,8 @@ def unpack(df: DataFrame, ids: str = "ids", out: str = "id_array") -> DataFrame:
         for batch in batches:
             yield batch.append_column(out, pa.array([np.frombuffer(x or b"", "<u4").astype(np.int32) for x in batch[ids].to_pylist()], pa.list_(pa.int32())))
 
-    return over_arrow(df, run, _with(df, out).removesuffix("binary") + "array<int>")
+    df, schema = plus(df, f"`{out}` array<int>", out)
+    return over_arrow(df, run, schema)
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:

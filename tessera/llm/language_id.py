@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, over_arrow
+from .common import documents, held_out, over_arrow, plus
 
 LONGEST, TOP, SAMPLE = 4, 400, 3000
 UNDETERMINED = "und"
@@ -120,9 +120,8 @@ class Profiles:
 
 
 def predict(df: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds the predicted language of each text and its score."""
-    if {out, score} & set(df.columns):
-        raise ValueError(f"a column {out!r} or {score!r} is there already; name others")
+    """Adds the predicted language of each text and its score; columns of these names are replaced."""
+    df, schema = plus(df, f"`{out}` string, `{score}` double", out, score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Profiles(profiles)
@@ -130,7 +129,6 @@ def predict(df: DataFrame, profiles: dict[str, np.ndarray], text: str = "text",
             names, scores = zip(*map(known.predict, batch[text].to_pylist()), strict=True) if batch.num_rows else ((), ())
             yield batch.append_column(out, pa.array(names, pa.string())).append_column(score, pa.array(scores, pa.float64()))
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` string", f"`{score}` double"])
     return over_arrow(df, run, schema)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, documents, over_arrow, range_blocks
+from .common import SLICE_BYTES, documents, over_arrow, plus, range_blocks
 from .textbytes import ALNUM, BASE, FOLD, U64, mix, utf8, word_hashes, word_spans
 
 #: Common words of English, French, German and Spanish.
@@ -96,10 +96,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], text: str, out: str) -> Ite
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """Adds the fingerprint of each text."""
-    if out in df.columns:
-        raise ValueError(f"the column {out!r} is there already; name another")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` string"])
+    """Adds the fingerprint of each text; a column of that name is replaced."""
+    df, schema = plus(df, f"`{out}` string", out)
     return over_arrow(df, lambda batches: _fingerprints(batches, text, out), schema)
 
 

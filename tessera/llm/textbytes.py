@@ -11,7 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_CHUNK = 1 << 20
+_CHUNK_BITS = 18
+_CHUNK = 1 << _CHUNK_BITS
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -38,7 +39,7 @@ class Rolling:
     """Polynomial hashes of any span of a byte string, modulo 2**64.
 
     The hash of bytes[i:j] is a function of those bytes alone, wherever they stand. Prefix sums are
-    made a megabyte at a time, so that the tables of powers stay small however long a text is.
+    made _CHUNK bytes at a time, so that the tables of powers stay small however long a text is.
     """
 
     _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -63,7 +64,7 @@ class Rolling:
         out = self.sums[end] - self.sums[start]
         out *= self._back[start & (_CHUNK - 1)]
         if len(self._far) > 1:
-            out *= self._far[start >> 20]
+            out *= self._far[start >> _CHUNK_BITS]
         return out
 
     def windows(self, width: int) -> np.ndarray:
@@ -75,7 +76,7 @@ class Rolling:
         for at in range(0, n, _CHUNK):
             out[at : at + _CHUNK] *= self._back[: min(_CHUNK, n - at)]
             if at:
-                out[at : at + _CHUNK] *= self._far[at >> 20]
+                out[at : at + _CHUNK] *= self._far[at >> _CHUNK_BITS]
         return out
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, over_arrow, slices
+from .common import documents, held_out, over_arrow, plus, slices
 from .textbytes import ALNUM, FOLD, U64, Rolling, utf8, word_spans
 
 WORDS, GRAMS, CELL_BITS, SIZE = 8, (3, 4, 5), 17, 8
@@ -185,9 +185,8 @@ def learn(rows: list[tuple[int, list[bytes]]]) -> tuple[np.ndarray, float] | Non
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds the score of each text. The folded model is CELLS numbers, whatever it learnt from."""
-    if out in df.columns:
-        raise ValueError(f"the column {out!r} is there already; name another")
+    """Adds the score of each text; a column of that name is replaced. The folded model is CELLS numbers, whatever it learnt from."""
+    df, schema = plus(df, f"`{out}` double", out)
     if model is None:
         return df.withColumn(out, F.lit(0.0))
     weights, bias = model
@@ -202,7 +201,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "te
                 worst[some] = np.maximum.reduceat(odds, bags.first[some])
             yield batch.append_column(out, pa.array(1 / (1 + np.exp(-np.clip(worst, -500, 500)))))
 
-    return over_arrow(df, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` double"]))
+    return over_arrow(df, run, schema)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

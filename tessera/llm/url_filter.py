@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_arrow
+from .common import over_arrow, plus
 from .textbytes import BASE, FOLD, U64, mix, utf8
 
 ORDER, BUCKETS, PRIOR, HOLD = 6, 1 << 17, 3.0, 8
@@ -126,8 +126,7 @@ def _chances(model: np.ndarray, gram: np.ndarray, context: np.ndarray) -> np.nda
 
 def score(df: DataFrame, models: dict[str, np.ndarray], site: str = "site", out: str = "score") -> DataFrame:
     """Adds the length-normalised difference of log-likelihoods, rejected less accepted; 0 without models."""
-    if out in df.columns:
-        raise ValueError(f"the column {out!r} is there already; name another")
+    df, schema = plus(df, f"`{out}` double", out)
     if not models:
         return df.withColumn(out, F.lit(0.0))
 
@@ -137,7 +136,7 @@ def score(df: DataFrame, models: dict[str, np.ndarray], site: str = "site", out:
             each = _chances(models["block"], gram, context) - _chances(models["allow"], gram, context)
             yield batch.append_column(out, pa.array(np.bincount(text, each, batch.num_rows) / np.maximum(1, np.bincount(text, minlength=batch.num_rows))))
 
-    return over_arrow(df, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` double"]))
+    return over_arrow(df, run, schema)
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -154,11 +153,9 @@ def calibrate(scored: DataFrame) -> float:
 
 
 def judge(urls: DataFrame, url: str = "url", rules: tuple = RULES) -> DataFrame:
-    """The rows with host, path, rule, verdict and score."""
-    clash = {"host", "path", "rule", "ruling", "verdict", "score", "site"} & set(urls.columns)
-    if clash:
-        raise ValueError(f"columns are there already: {sorted(clash)}")
+    """The rows with host, path, rule, verdict and score; columns of these names, or of `ruling` and `site`, are replaced."""
     site = F.lower(F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://", ""))
+    urls = urls.drop(*{"host", "path", "rule", "ruling", "verdict", "score", "site"} - {url})
     df = ruled(urls, url, rules).withColumn("site", site)
     kept = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("site")), F.lit(HOLD)) == 0
     decided = df.filter("ruling is not null").select("site", "ruling")
