@@ -47,10 +47,11 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with ids (little-endian unsigned 32-bit integers), n_tokens and ids_sha256; decoded_sha256 is that of the bytes decoded again."""
+    """Every document with ids (little-endian unsigned 32-bit integers), n_tokens and ids_sha256; decoded_sha256 is that of the bytes decoded again. Columns of these names are replaced."""
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = docs.drop("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256")
     coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
     return coded.withColumns({"n_tokens": F.expr("cast(octet_length(ids) div 4 as bigint)"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("decoded")
 
