@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,118 +58,126 @@ def _bands() -> tuple[np.ndarray, np.ndarray]:
     return np.array(low[:-1]), np.array(high)
 
 
-@lru_cache(maxsize=4096)
-def _cuts(parts: int) -> np.ndarray:
-    """The inner bounds of `parts` equal ranges of 64-bit hashes."""
-    return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-
-
-def _signing(size: int) -> list[tuple[int, int, int]]:
-    """(band, groups, most differences) for each band in which a set of this size signs."""
-    low, high = _bands()
-    own, most = int(np.searchsorted(high, size)), size * 5 // 4
-    out = []
-    for band in range(own, own + 2):
-        if low[band] <= most:
-            k = 2 * int(high[band]) // 9
-            out.append((band, k // 2 + 1 + k // 24, (size + min(most, int(high[band]))) // 9))
-    return out
+class Signing:
+    """The bands in which sets sign, and their parts: sets stand in a row, sorted, `bounds` apart. An entry is a set and a band."""
+
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray):
+        low, high = _bands()
+        size = np.diff(bounds)
+        full = np.flatnonzero(size)
+        own, most = np.searchsorted(high, size[full]), size[full] * 5 // 4
+        also = low[own + 1] <= most
+        self.set = np.concatenate((full, full[also]))
+        self.band = np.concatenate((own, own[also] + 1))
+        top = high[self.band]
+        k = 2 * top // 9
+        self.groups = k // 2 + 1 + k // 24
+        self.differ = (size[self.set] + np.minimum(np.concatenate((most, most[also])), top)) // 9
+        length = size[self.set]
+        entry = np.repeat(np.arange(len(self.set)), length)
+        x = hashes[np.arange(len(entry)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(bounds[:-1][self.set], length)]
+        parts = 3 * self.groups
+        first = np.cumsum(parts) - parts
+        place = first[entry] + (((x >> U64(32)) * parts[entry].astype(np.uint64)) >> U64(32)).astype(np.int64)
+        count = np.bincount(place, minlength=int(parts.sum()))
+        ends = np.cumsum(count)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(x))))
+        self.sums = (sums[ends] - sums[ends - count]).reshape(-1, 3)
+        none = (count == 0).reshape(-1, 3)
+        self.empty = np.stack([none[:, a] & none[:, b] for a, b in _PAIRS], 1)
+        self.entry = np.repeat(np.arange(len(self.set)), self.groups)
+        least = np.where(self.differ <= self.groups, 3 * self.groups - 2 * self.differ, 2 * self.groups - self.differ)
+        #: At least so many signatures with elements does an entry share with any linked set of its band.
+        self.assured = least - np.bincount(self.entry, self.empty.sum(axis=1), len(self.set)).astype(np.int64)
+
+    def needed(self, sets: int) -> np.ndarray:
+        """How many signatures each set must share, with all others together, to have a link."""
+        out = np.full(sets, np.iinfo(np.int64).max)
+        np.minimum.at(out, self.set, self.assured)
+        return np.maximum(1, np.where(out == np.iinfo(np.int64).max, 0, out))
+
+    def signatures(self) -> tuple[np.ndarray, np.ndarray]:
+        """All signatures, and the set of each."""
+        within = np.arange(len(self.entry)) - np.repeat(np.cumsum(self.groups) - self.groups, self.groups)
+        place = (within * 8 + (self.band[self.entry] << 40)).astype(np.uint64)
+        sig = np.stack([mix(mix(self.sums[:, a] + U64(1)) + U64(3) * mix(self.sums[:, b] + U64(2)) + mix(place + U64(c))) for c, (a, b) in enumerate(_PAIRS)], 1)
+        alone = (self.assured < 1)[self.entry][:, None]
+        sig = np.where(self.empty & alone, mix(sig + U64(77)), sig)
+        kept = ~self.empty | alone
+        return sig[kept], np.repeat(self.set[self.entry], kept.sum(axis=1))
 
 
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
-def _parts(shingle: np.ndarray, groups: int) -> np.ndarray:
-    """Where the parts of a sorted set begin and end: 3 * groups + 1 offsets."""
-    return np.concatenate(([0], np.searchsorted(shingle, _cuts(3 * groups)), [len(shingle)]))
-
+def signatures(hashes: np.ndarray) -> np.ndarray:
+    """The PartEnum signatures of one sorted set of distinct hashes."""
+    return Signing(hashes, np.array([0, len(hashes)])).signatures()[0]
 
-def _assured(bounds: np.ndarray, groups: int, k: int) -> int:
-    """At least so many signatures with elements are shared with any linked set of the band."""
-    none = (np.diff(bounds) == 0).reshape(groups, 3)
-    empty = sum(int((none[:, a] & none[:, b]).sum()) for a, b in _PAIRS)
-    return (3 * groups - 2 * k if k <= groups else 2 * groups - k) - empty
 
+def needed(hashes: np.ndarray) -> int:
+    return int(Signing(hashes, np.array([0, len(hashes)])).needed(1)[0])
 
-def needed(shingle: np.ndarray) -> int:
-    """How many signatures a set must share, with all others together, to have a link."""
-    return max(1, min(_assured(_parts(shingle, groups), groups, k) for _, groups, k in _signing(len(shingle))))
 
-
-def signatures(shingle: np.ndarray) -> np.ndarray:
-    """The PartEnum signatures of a sorted set of distinct hashes."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(shingle))))
-    out = []
-    for band, groups, k in _signing(len(shingle)):
-        bounds = _parts(shingle, groups)
-        part = (sums[bounds[1:]] - sums[bounds[:-1]]).reshape(groups, 3)
-        none = (np.diff(bounds) == 0).reshape(groups, 3)
-        alone = _assured(bounds, groups, k) < 1
-        place = np.arange(groups, dtype=np.uint64) * U64(8) + U64(band << 40)
-        for c, (a, b) in enumerate(_PAIRS):
-            sig = mix(mix(part[:, a] + U64(1)) + U64(3) * mix(part[:, b] + U64(2)) + mix(place + U64(c)))
-            empty = none[:, a] & none[:, b]
-            if alone:
-                sig = np.where(empty, mix(sig + U64(77)), sig)
-                out.append(sig)
-            else:
-                out.append(sig[~empty])
-    return np.concatenate(out)
-
-
-def _sets(batch: pa.RecordBatch, text: str) -> Iterator[np.ndarray]:
-    """The sorted set of shingle hashes of each text."""
-    data, offsets = utf8(batch[text])
+def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted sets of shingle hashes of the texts, in a row, and their bounds."""
+    data, offsets = utf8(batch["text"])
     start, end, first = word_spans(data, offsets, NOT_SPACE)
     found, at = shingles(word_hashes(FOLD[data], start, end), first, WIDTH)
-    for i in range(batch.num_rows):
-        yield np.unique(found[at[i] : at[i + 1]])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        found[a:b].sort()
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    new[at[:-1][at[:-1] < len(found)]] = True
+    return found[new], np.concatenate(([0], np.cumsum(new)))[at]
+
+
+def _key(hashes: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits that stand for each set."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + U64(salt)))))
+    return (sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        rows = []
-        for x in _sets(batch, "text"):
-            one, two = (int(mix(x + U64(salt)).sum(dtype=np.uint64)) for salt in (11, 23)) if len(x) else (0, 0)
-            rows.append((len(x), one - (1 << 63), two - (1 << 63), needed(x) if len(x) else 0))
-        n, one, two, need = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(need, pa.int64())], ["doc_id", "n_shingles", "one", "two", "need"])
+        hashes, bounds = _sets(batch)
+        need = Signing(hashes, bounds).needed(batch.num_rows)
+        columns = [np.diff(bounds), _key(hashes, bounds, 11), _key(hashes, bounds, 23), need]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, pa.int64()) for x in columns)], ["doc_id", "n_shingles", "one", "two", "need"])
 
 
 def _sign(blocks: int):
-    """Records (signature, id) of each text, dealt to blocks by signature; a set that this task has seen signs once."""
+    """Records (signature, key of its set), dealt to blocks by signature; a set that this task has seen signs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, ids, held, seen = [], [], 0, set()
+        sigs, keys, held, seen = [], [], 0, set()
 
         def deal() -> pa.RecordBatch:
-            sig, doc = np.concatenate(sigs), np.repeat(np.array([i for i, _ in ids], np.int64), [n for _, n in ids])
-            block = ((sig >> U64(32)) * U64(blocks)) >> U64(32)
+            sig, key = np.concatenate(sigs), np.concatenate(keys)
+            block = (((sig >> U64(32)) * U64(blocks)) >> U64(32)).astype(np.int32)
             order = np.argsort(block, kind="stable")
-            sig, doc, block = sig[order], doc[order], block[order]
+            sig, key, block = sig[order], key[order], block[order]
             at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
             pairs = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(block[at[:-1]].astype(np.int32)), pa.array([sig[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([doc[i:j].tobytes() for i, j in pairs], pa.binary())],
-                ["block", "sigs", "docs"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array(block[at[:-1]]), *(pa.array([x[i:j].tobytes() for i, j in pairs], pa.binary()) for x in (sig, key))], ["block", "sigs", "keys"])
 
         for batch in slices(batches, "text"):
-            for doc, shingle in zip(batch["doc_id"].to_pylist(), _sets(batch, "text"), strict=True):
-                if doc is None or not len(shingle):
-                    continue
-                key = (len(shingle), int(mix(shingle + U64(11)).sum(dtype=np.uint64)))
-                if key in seen:
-                    continue
-                seen.add(key)
-                sigs.append(signatures(shingle))
-                ids.append((doc, len(sigs[-1])))
-                held += len(sigs[-1])
-                if held >= HELD:
-                    yield deal()
-                    sigs.clear()
-                    ids.clear()
-                    held = 0
+            hashes, bounds = _sets(batch.filter(pc.is_valid(batch["doc_id"])))
+            key = _key(hashes, bounds, 11)
+            fresh = np.zeros(len(key), bool)
+            for i, x in enumerate(key.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    fresh[i] = True
+            sig, of = Signing(hashes, bounds).signatures()
+            sigs.append(sig[fresh[of]])
+            keys.append(key[of[fresh[of]]])
+            held += len(sigs[-1])
+            if held >= HELD:
+                yield deal()
+                sigs.clear()
+                keys.clear()
+                held = 0
         if held:
             yield deal()
 
@@ -176,18 +185,25 @@ def _sign(blocks: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """(sig, doc) of the signatures in a block that more than one id has."""
+    """(sig, key) of the signatures in a block that more than one set has."""
     sig = np.frombuffer(b"".join(x.as_py() for x in table["sigs"]), np.uint64)
-    doc = np.frombuffer(b"".join(x.as_py() for x in table["docs"]), np.int64)
+    key = np.frombuffer(b"".join(x.as_py() for x in table["keys"]), np.int64)
     order = np.argsort(sig, kind="stable")
-    sig, doc = sig[order], doc[order]
+    order = order[several(sig[order])]
+    sig, key = sig[order], key[order]
+    order = np.lexsort((key, sig))
+    sig, key = sig[order], key[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+    sig, key = sig[new], key[new]
     many = several(sig)
-    return pa.table({"sig": sig[many].view(np.int64), "doc": doc[many]})
+    return pa.table({"sig": sig[many].view(np.int64), "key": key[many]})
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x.tobytes() for x in _sets(batch, "text")], pa.binary())], ["node", "hashes"])
+        hashes, bounds = _sets(batch)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["node", "hashes"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +267,7 @@ def _blocks(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
 
 
-def _across(placed: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between different parts of the groups of signatures that still hold several.
 
     In a group of at most FEW nodes each pair of different parts is compared. Larger groups are joined where they
@@ -263,7 +279,7 @@ def _across(placed: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     few = placed.filter(F.col("size") <= FEW)
     other = few.select("sig", F.col("node").alias("b"), F.col("part").alias("other"))
     near = few.join(other, "sig").filter("node < b and part <> other").select(F.col("node").alias("a"), "b").distinct()
-    links = _linked(near.join(pairs, ["a", "b"], "left_anti"), sets)
+    links = _linked(near, sets)
     large = placed.filter(F.col("size") > FEW)
     if large.isEmpty():
         return links
@@ -287,20 +303,20 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = staged(over_arrow(docs, _describe, "doc_id long, n_shingles long, one long, two long, need long"), "shingles")
     signing = described.filter("n_shingles > 0 and doc_id is not null")
-    least = signing.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("node"))
-    nodes = staged(signing.join(least, ["n_shingles", "one", "two"]).groupBy("doc_id").agg(F.min("node").alias("node"), F.min("need").alias("need")), "nodes")
+    least = staged(signing.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("node"), F.min("need").alias("need")), "sets")
+    nodes = signing.join(least, ["n_shingles", "one", "two"]).groupBy("doc_id").agg(F.min("node").alias("node"), F.collect_set("node").alias("own"))
+    nodes = staged(nodes, "nodes")
     # rows of one id with several sets tie the nodes of these sets
-    own = nodes.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(signing.join(least, ["n_shingles", "one", "two"]).select(F.col("doc_id").alias("a"), "node"), "a")
-    tied = own.select("b", F.col("node").alias("a")).filter("a <> b").unionByName(own.filter("b > a").select("a", "b"))
+    tied = nodes.filter(F.size("own") > 1).select(F.col("node").alias("a"), F.explode("own").alias("b")).filter("a <> b")
 
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(partitions, -(-total * 16 // BLOCK_BYTES))
-    dealt = over_arrow(docs, _sign(blocks), "block int, sigs binary, docs binary").groupBy("block")
-    shared = staged(dealt.applyInArrow(_shared, "sig long, doc long"), "shared")
+    dealt = over_arrow(docs, _sign(blocks), "block int, sigs binary, keys binary").groupBy("block")
+    shared = staged(dealt.applyInArrow(_shared, "sig long, key long"), "shared")
 
-    enough = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).join(nodes.withColumnRenamed("doc_id", "doc"), "doc").filter("n >= need").select("doc", "node", "n")
-    members = staged(shared.join(enough, "doc").groupBy("sig", "node").agg(F.max("n").alias("n")), "members")
+    enough = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(least.select(F.col("one").alias("key"), "node", "need"), "key").filter("n >= need").select("key", "node", "n")
+    members = staged(shared.join(enough, "key").select("sig", "node", "n"), "members")
     # the text that shares most is the one least edited, so most others are near to it
     lead = members.groupBy("sig").agg(F.max(F.struct("n", (-F.col("node")).alias("node"))).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("sig", (-F.col("lead.node")).alias("lead"))
     pairs = members.join(lead, "sig").filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
@@ -312,7 +328,7 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     links = staged(_linked(pairs, sets).unionByName(tied), "linked")
     found = staged(components(links, "a", "b"), "components")
-    more = staged(_across(members.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part")), pairs, sets), "linked")
+    more = staged(_across(members.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part")), sets), "linked")
     if more.count():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
     where = nodes.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
