@@ -1,0 +1,107 @@
+"""Hidden-Markov folds over ordered rows: native folds for few states, grouped pandas for paths.
+
+A group is one sample on one contig, ordered by position; Spark deals groups to tasks, and a group's rows fit in one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def forward(df: DataFrame, keys: list[str], order: str, emissions: list[str], switch: str) -> DataFrame:
+    """ln of the forward likelihood of 2 or 4 hidden states, from an even start.
+
+    Two states switch with chance `switch`. Four are two strands that switch apart: 0, 1, 2, 3 stand for (0,0), (0,1),
+    (1,0), (1,1). `switch` is the chance on the way to a row; that of the first row is not used. The fold rescales
+    at each step, so long sequences don't underflow."""
+    n = len(emissions)
+    apart = lambda i, j: bin(i ^ j).count("1")
+    bits = 1 if n == 2 else 2
+
+    def step(state: Column, row: Column) -> Column:
+        t = F.when(state["first"], F.lit(0.5)).otherwise(row["t"])
+        chance = lambda i, j: F.pow(t, F.lit(apart(i, j))) * F.pow(1 - t, F.lit(bits - apart(i, j)))
+        into = [sum((state["p"][i] * chance(i, j) for i in range(n)), F.lit(0.0)) * row["e"][j] for j in range(n)]
+        total = sum(into[1:], into[0])
+        return F.struct(F.array(*[x / total for x in into]).alias("p"), (state["log"] + F.ln(total)).alias("log"), F.lit(False).alias("first"))
+
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.array(*[F.col(e).cast("double") for e in emissions]).alias("e"), F.col(switch).cast("double").alias("t"))))
+    start = F.struct(F.array(*[F.lit(1.0 / n)] * n).alias("p"), F.lit(0.0).alias("log"), F.lit(True).alias("first"))
+    return df.groupBy(*keys).agg(F.aggregate(rows, start, step, lambda s: s["log"]).alias("log_likelihood"))
+
+
+def flat_viterbi(scores: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """The best path over (row, state) scores, where a switch between any two states costs `penalty`; of equal ones the first state, and staying."""
+    best, back = scores[0].copy(), np.zeros(scores.shape, np.int64)
+    for t in range(1, len(scores)):
+        top = int(best.argmax())
+        stay = best >= best[top] - penalty
+        back[t] = np.where(stay, np.arange(scores.shape[1]), top)
+        best = np.where(stay, best, best[top] - penalty) + scores[t]
+    path = np.empty(len(scores), np.int64)
+    path[-1] = best.argmax()
+    for t in range(len(scores) - 1, 0, -1):
+        path[t - 1] = back[t, path[t]]
+    return float(best.max()), path
+
+
+def paint(df: DataFrame, keys: dict[str, str], order: str, scores: list[str], penalty: float) -> DataFrame:
+    """Segments of the best path of each group: keys, seg, state, start, end (places of its first and last row), n, log_score."""
+    names = list(keys)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        score, path = flat_viterbi(rows[scores].to_numpy(float), penalty)
+        first = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
+        last = np.concatenate((first[1:], [len(path)])) - 1
+        at = rows[order].to_numpy()
+        out = {name: [value] * len(first) for name, value in zip(names, key, strict=True)}
+        return pd.DataFrame(out | {"seg": np.arange(len(first)), "state": path[first], "start": at[first], "end": at[last], "n": last - first + 1, "log_score": score})
+
+    schema = ", ".join([*(f"{k} {t}" for k, t in keys.items()), "seg long, state long, start long, end long, n long, log_score double"])
+    return df.select(*names, order, *scores).groupBy(*names).applyInPandas(run, schema)
+
+
+def bounded_switches(cost: np.ndarray, most: int) -> tuple[float, np.ndarray]:
+    """The cheapest path over (row, state) costs with at most `most` switches; of equal ones fewer switches, then the first state."""
+    n, k = cost.shape
+    best = np.full((most + 1, k), np.inf)
+    best[0] = cost[0]
+    back = np.zeros((n, most + 1, k, 2), np.int64)
+    for t in range(1, n):
+        new = best.copy()
+        back[t, :, :, 0], back[t, :, :, 1] = np.arange(most + 1)[:, None], np.arange(k)[None, :]
+        for r in range(1, most + 1):
+            low = int(best[r - 1].argmin())
+            better = best[r - 1, low] < new[r]
+            new[r, better] = best[r - 1, low]
+            back[t, r, better] = (r - 1, low)
+        best = new + cost[t]
+    r, s = divmod(int(best.argmin()), k)
+    total, path = float(best[r, s]), np.empty(n, np.int64)
+    for t in range(n - 1, -1, -1):
+        path[t] = s
+        r, s = back[t, r, s]
+    return total, path
+
+
+def burst(scores: Column, opening: float, extending: float, uniform: float) -> Column:
+    """The best score of an array of log-likelihoods where stretches may be left to a burst: affine in its length."""
+    n0 = lambda e: F.struct(e.alias("n"), F.lit(opening + uniform + extending).alias("b"), F.lit(False).alias("first"))
+
+    def step(s: Column, e: Column) -> Column:
+        after = F.struct((F.greatest(s["n"], s["b"]) + e).alias("n"), (F.greatest(s["n"] + opening, s["b"]) + uniform + extending).alias("b"), F.lit(False).alias("first"))
+        return F.when(s["first"], n0(e)).otherwise(after)
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("b"), F.lit(True).alias("first"))
+    return F.aggregate(scores, start, step, lambda s: F.greatest(s["n"], s["b"]))
+
+
+def grouped(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A function of each group's rows; the groups are what Spark deals out."""
+    return df.groupBy(*keys).applyInPandas(function, schema)
