@@ -1,0 +1,73 @@
+"""Gametes, children and reads by simulation. Each row has a seed of its own, so results don't depend on partitioning."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def gamete(first: np.ndarray, second: np.ndarray, positions: np.ndarray, rate: float, mutation: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A mosaic of two haplotypes with Poisson crossovers, mutated; and where it crossed over."""
+    span = positions[-1] - positions[0] if len(positions) else 0
+    cross = np.sort(rng.uniform(positions[0], positions[-1], rng.poisson(span * rate))) if span > 0 else np.zeros(0)
+    strand = (np.searchsorted(cross, positions, "right") + rng.integers(2)) % 2
+    out = np.where(strand == 0, first, second)
+    flip = rng.random(len(out)) < mutation
+    return np.where(flip, 1 - out, out), cross
+
+
+def children(pairs: DataFrame, schema_keys: str, keys: list[str], rate: float, mutation: float) -> DataFrame:
+    """A child's two gametes: keys, slot, alleles, crossovers. pairs: keys, seed, positions, and four haplotypes a1, a2 (father), b1, b2 (mother)."""
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                rng = np.random.Generator(np.random.PCG64(int(r.seed) & (1 << 63) - 1))
+                at = np.asarray(r.positions, float)
+                for slot, (x, y) in enumerate(((r.a1, r.a2), (r.b1, r.b2)), 1):
+                    alleles, cross = gamete(np.asarray(x), np.asarray(y), at, rate, mutation, rng)
+                    out.append([*(getattr(r, k) for k in keys), slot, alleles.astype(np.int64).tolist(), cross.tolist()])
+            yield pd.DataFrame(out, columns=[*keys, "slot", "alleles", "crossovers"])
+
+    return pairs.mapInPandas(run, f"{schema_keys}, slot int, alleles array<long>, crossovers array<double>")
+
+
+def reads(dosages: DataFrame, dosage: str, seed: str, depth: float, error: float) -> DataFrame:
+    """Adds ref and alt: a Poisson depth, and alternative reads at the dosage's chance; seeds are a row's own."""
+
+    def run(batches):
+        for rows in batches:
+            counts = []
+            for g, s in zip(rows[dosage], rows[seed], strict=True):
+                rng = np.random.Generator(np.random.PCG64(int(s) & (1 << 63) - 1))
+                n = rng.poisson(depth)
+                alt = rng.binomial(n, (error, 0.5, 1 - error)[int(g)])
+                counts.append((n - alt, alt))
+            yield rows.assign(ref=[r for r, _ in counts], alt=[a for _, a in counts])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dosages.schema.fields)
+    return dosages.mapInPandas(run, f"{fields}, ref long, alt long")
+
+
+def thinned(df: DataFrame, ref: str, alt: str, keep: float, seed: str) -> DataFrame:
+    """Reads kept with a chance each, by a row's own seed."""
+    return _binomial(df, {ref: keep, alt: keep}, seed)
+
+
+def _binomial(df: DataFrame, columns: dict[str, float], seed: str) -> DataFrame:
+    def run(batches):
+        for rows in batches:
+            rows = rows.copy()
+            for k, (name, chance) in enumerate(columns.items()):
+                rows[name] = [np.random.Generator(np.random.PCG64([int(s) & (1 << 63) - 1, k])).binomial(int(n), chance) for n, s in zip(rows[name], rows[seed], strict=True)]
+            yield rows
+
+    return df.mapInPandas(run, df.schema)
+
+
+def seeds(df: DataFrame, *columns: str, out: str = "seed") -> DataFrame:
+    """A seed of each row from its columns."""
+    return df.withColumn(out, F.xxhash64(*columns))
