@@ -102,7 +102,8 @@ def _dealer(records: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]],
         x = np.concatenate(held)
         x = x[np.lexsort((x["lo"], x["doc"], x["r"], x["a"]))]
         again = np.concatenate(([False], (x["a"][1:] == x["a"][:-1]) & (x["r"][1:] == x["r"][:-1])))
-        block = (((x["a"] >> U64(32)) * U64(blocks)) >> U64(32)).astype(np.int64)
+        # a trigger's hash is the least of many, so it is mixed anew: blocks of hashes as they are would be very uneven
+        block = (((mix(x["a"]) >> U64(32)) * U64(blocks)) >> U64(32)).astype(np.int64)
         block[again] = (x["doc"][again] + turn) % blocks
         kind = block * 2 + again
         order = np.argsort(kind, kind="stable")
