@@ -30,7 +30,7 @@ from .common import documents, over_arrow, slices
 from .textbytes import ALNUM, FOLD, utf8, word_hashes, word_spans
 
 WINDOW, SAMPLE = 10, 16
-SHARD_BYTES, ITEM_BYTES = 16 << 20, 16 << 20
+SHARD_BYTES, ITEM_BYTES = 4 << 20, 16 << 20
 
 
 class FMIndex:
@@ -160,7 +160,17 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scanner(items: list[tuple[str, str]], width: int):
+def _without(text: str, spans: list[dict]) -> str:
+    data, at, kept = text.encode(), 0, []
+    for x in spans:
+        kept.append(data[at : x["start"]])
+        at = x["end"]
+    return b"".join([*kept, data[at:]]).decode()
+
+
+def _scanner(items: list[tuple[str, str]], width: int, cut: str | None):
+    """Adds to what was found before; with `cut`, the spans go from that column, as nothing is to follow."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(items, width)
         for shard in _shards(batches):
@@ -193,14 +203,14 @@ def _scanner(items: list[tuple[str, str]], width: int):
                 hits[row].append({"start": a - int(first[row]), "end": b - int(first[row])})
                 bytes_[row].append({"start": int(start[a] - offsets[row]), "end": int(end[b - 1] - offsets[row])})
             found = {"__words": pa.array(np.diff(first)), "__hits": pa.array(hits, _SPANS), "__bytes": pa.array(bytes_, _SPANS), "__items": pa.array([sorted(x) for x in names], pa.list_(pa.string()))}
+            if cut:
+                found[cut] = pa.array([_without(t, x) if x else t for t, x in zip(shard["__text"].to_pylist(), bytes_, strict=True)], pa.string())
             yield from pa.table([found.get(n, shard[n]) for n in shard.column_names], names=shard.column_names).combine_chunks().to_batches()
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
-    """The documents with all their columns, and four more: __words (their number), __hits and __bytes (merged spans
-    of hit words, by word and by byte of the text), __items (ids of the items with occurring windows, sorted)."""
+def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, width: int, cut: bool) -> DataFrame:
     kind = "array<struct<start:bigint,end:bigint>>"
     df = docs.withColumns({"__text": F.col(text), "__words": F.lit(0).cast("long"), "__hits": F.lit(None).cast(kind), "__bytes": F.lit(None).cast(kind), "__items": F.lit(None).cast("array<string>")})
     items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("words")).filter("name is not null and words is not null")
@@ -208,33 +218,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     blocks = max(1, -(-size // ITEM_BYTES))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).collect()
-        df = over_arrow(df, _scanner([(r["name"], r["words"]) for r in part], width), schema)
+        part = items.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).collect()  # ITEM_BYTES or so
+        df = over_arrow(df, _scanner([(r["name"], r["words"]) for r in part], width, text if cut and block == blocks - 1 else None), schema)
     return df.drop("__text")
 
 
-def _cutter(text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for value, spans in zip(batch[text].to_pylist(), batch["__bytes"].to_pylist(), strict=True):
-                if spans:
-                    data, at, kept = value.encode(), 0, []
-                    for x in spans:
-                        kept.append(data[at : x["start"]])
-                        at = x["end"]
-                    value = b"".join([*kept, data[at:]]).decode()
-                out.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text else batch[n] for n in batch.schema.names], batch.schema.names)
-
-    return run
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
+    """The documents with all their columns, and four more: __words (their number), __hits and __bytes (merged spans
+    of hit words, by word and by byte of the text), __items (ids of the items with occurring windows, sorted)."""
+    return _scanned(docs, benchmark, text, item_id, item_text, width, False)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
     """The documents with the spans of hit words cut out of their texts; the rest of each text and its other columns stay."""
-    found = contamination(docs, benchmark, text, **options).drop("__words", "__hits", "__items")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
-    return over_arrow(found, _cutter(text), schema).drop("__bytes")
+    return _scanned(docs, benchmark, text, item_id, item_text, width, True).drop("__words", "__hits", "__bytes", "__items")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -130,14 +130,13 @@ class Model:
             part, n = Bags(*utf8(pa.array(windows[i : i + 4096], pa.large_binary()))).features()
             cells.append(part)
             count.append(n)
+        del windows
         cells, count = np.concatenate(cells), np.concatenate(count)
         begin = np.cumsum(count) - count
         sums = [np.zeros_like(x) for x in (self.embedding, self.weight, self.bias)]
-        owner = np.repeat(np.arange(len(windows)), count)
         for turn in range(ROUNDS):
             if turn:
-                weights, bias = self.folded()
-                odds = np.bincount(owner, weights[cells], len(windows)) / np.maximum(1, count) + bias
+                odds = self._odds(cells, begin, count)
             picked, marks = [], []
             for i, mark in enumerate(label.tolist()):
                 own = np.arange(at[i], at[i + 1])
@@ -154,6 +153,16 @@ class Model:
                 one = order[i : i + BATCH]
                 self._step(cells, begin[picked[one]], count[picked[one]], marks[one], sums)
 
+    def _odds(self, cells: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The log-odds of each window; a few thousand at once."""
+        weights, bias = self.folded()
+        weights, out = weights.astype(np.float32), np.empty(len(count))
+        for i in range(0, len(count), 4096):
+            first = begin[i : i + 4096]
+            last = begin[i + 4096] if i + 4096 < len(count) else len(cells)
+            out[i : i + 4096] = np.add.reduceat(weights[cells[first[0] : last]], first - first[0])
+        return out / count + bias
+
     def _step(self, cells: np.ndarray, begin: np.ndarray, n: np.ndarray, label: np.ndarray, sums: list[np.ndarray]) -> None:
         bag = np.repeat(np.arange(len(n)), n)
         cell = cells[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)]
