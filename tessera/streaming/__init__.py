@@ -1,0 +1 @@
+"""No operator here: all data of this engine are tables. Batch windows over coordinates are in tessera.operators.windows."""
