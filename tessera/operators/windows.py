@@ -59,7 +59,7 @@ def support(df: DataFrame, keys: list[str], label: str, share: str, coverage: fl
     w = Window.partitionBy(*keys).orderBy(F.desc(share), label)
     before = F.coalesce(F.sum(share).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     kept = df.filter(F.col(share) > 0).withColumns({"__before": before, "__place": F.row_number().over(w)}).filter(F.col("__before") < coverage)
-    entry = F.struct("__place", F.format_string("%s:%.3f", F.col(label), F.col(share)).alias("text"))
+    entry = F.struct("__place", F.format_string("%s:%.3f", F.col(label), F.round(share, 3)).alias("text"))
     return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["text"]), ";").alias("support"), F.count(F.lit(1)).alias("n_support"))
 
 

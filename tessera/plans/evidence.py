@@ -117,10 +117,10 @@ def q_map_functions(spark, sf_dir):
 
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_discount * 5 + 0.2 AS a, l_tax * 5 + 0.3 AS b FROM lineitem),
 i AS (SELECT *, sign(a - 0.5) * (1 + a * log2(a) + (1 - a) * log2(1 - a)) AS ia, sign(b - 0.5) * (1 + b * log2(b) + (1 - b) * log2(1 - b)) AS ib FROM p)
-SELECT l_orderkey, l_linenumber, round(ia, 8) AS ia, round(ib, 8) AS ib, round(CASE WHEN abs(ia * ib + 1) < 1e-9 THEN 0 ELSE (ia + ib) / (1 + ia * ib) END, 8) AS joint FROM i""")
+SELECT l_orderkey, l_linenumber, round(ia, 8) + 0::DOUBLE AS ia, round(ib, 8) + 0::DOUBLE AS ib, round(CASE WHEN abs(ia * ib + 1) < 1e-9 THEN 0 ELSE (ia + ib) / (1 + ia * ib) END, 8) + 0::DOUBLE AS joint FROM i""")
 def q_information(spark, sf_dir):
     a, b = maths.information(F.col("l_discount") * 5 + 0.2), maths.information(F.col("l_tax") * 5 + 0.3)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(a, 8).alias("ia"), F.round(b, 8).alias("ib"), F.round(maths.add_information(a, b), 8).alias("joint"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[(F.round(x, 8) + F.lit(0.0)).alias(n) for n, x in (("ia", a), ("ib", b), ("joint", maths.add_information(a, b)))])
 
 
 @query("""SELECT p_partkey, round(lgamma(p_size + 100 + 1), 7) AS log_factorial, round(lgamma(p_size + 100 + 1) - lgamma(p_size + 1) - lgamma(101), 7) AS log_binomial,

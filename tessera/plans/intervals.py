@@ -63,11 +63,11 @@ def q_crossover_types(spark, sf_dir):
 
 
 @query(f"""WITH {SEGMENTS} SELECT CASE WHEN "end" - "start" < 600 THEN 'a' WHEN "end" - "start" < 7200 THEN 'b' WHEN "end" - "start" < {DAY} THEN 'c' ELSE 'd' END AS width, count(*) AS n,
-CAST(median("end" - "start") AS BIGINT) AS middle, min("end" - "start") AS least, max("end" - "start") AS most, CAST(sum("end" - "start") AS BIGINT) AS total FROM segments GROUP BY 1""")
+CAST(floor(median("end" - "start")) AS BIGINT) AS middle, min("end" - "start") AS least, max("end" - "start") AS most, CAST(sum("end" - "start") AS BIGINT) AS total FROM segments GROUP BY 1""")
 def q_width_buckets(spark, sf_dir):
     w = F.col("end") - F.col("start")
     name = F.when(w < 600, "a").when(w < 7200, "b").when(w < DAY, "c").otherwise("d")
-    return segments(spark, sf_dir).groupBy(name.alias("width")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(w)).cast("long").alias("middle"), F.min(w).alias("least"), F.max(w).alias("most"), F.sum(w).alias("total"))
+    return segments(spark, sf_dir).groupBy(name.alias("width")).agg(F.count(F.lit(1)).alias("n"), F.floor(F.median(w)).alias("middle"), F.min(w).alias("least"), F.max(w).alias("most"), F.sum(w).alias("total"))
 
 
 _CENTRES = "centres AS (SELECT user_id, unnest(range(1800, 2592000, 21600))::BIGINT AS centre FROM (SELECT DISTINCT user_id FROM marks))"

@@ -59,7 +59,7 @@ def q_loco_winner(spark, sf_dir):
 
 @query(f"""WITH {MARKS}, s AS (SELECT user_id, event_type, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY user_id) AS share FROM marks GROUP BY user_id, event_type),
 c AS (SELECT *, coalesce(sum(share) OVER (PARTITION BY user_id ORDER BY share DESC, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
-SELECT user_id, string_agg(event_type || ':' || printf('%.3f', share), ';' ORDER BY share DESC, event_type) AS support, count(*) AS n_support FROM c WHERE before < 0.7 GROUP BY user_id""")
+SELECT user_id, string_agg(event_type || ':' || printf('%.3f', round(share, 3)), ';' ORDER BY share DESC, event_type) AS support, count(*) AS n_support FROM c WHERE before < 0.7 GROUP BY user_id""")
 def q_support_set(spark, sf_dir):
     """A user's likeliest types up to a share of 0.7."""
     counts = marks(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))

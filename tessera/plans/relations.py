@@ -32,12 +32,12 @@ def q_anti(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) / 100000 AS score FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS score FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
-SELECT k, round((1.5 * coalesce(a.score, 0) + 2 * coalesce(b.score, 0)) / 3.5, 6) AS score FROM a FULL OUTER JOIN b USING (k)""")
+SELECT k, round((1.5 * coalesce(a.score, 0) + 2 * coalesce(b.score, 0)) / 3.5, 4) AS score FROM a FULL OUTER JOIN b USING (k)""")
 def q_full_outer_scores(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "k")
     a = o.filter("o_orderstatus = 'F'").groupBy("k").agg((F.sum("o_totalprice") / 100000).alias("score"))
     b = o.filter("o_orderpriority = '1-URGENT'").groupBy("k").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return transitions.full_outer_score(a, b, ["k"], 1.5).select("k", F.round("score", 6).alias("score"))
+    return transitions.full_outer_score(a, b, ["k"], 1.5).select("k", F.round("score", 4).alias("score"))
 
 
 _SEGMENTS = "(SELECT DISTINCT c_mktsegment FROM customer), p AS (SELECT DISTINCT o_orderpriority FROM orders), n AS (SELECT c_mktsegment, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
