@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to Python, and bytes of text that one numpy step takes from it.
 BATCH_ROWS, SLICE_BYTES = 512, 1 << 19
+#: Range bounds up to which a block is found by an expression of that size.
+TREE_BOUNDS = 512
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -88,7 +91,8 @@ def range_blocks(df: DataFrame, key: str, blocks: int) -> DataFrame:
     bounds = sorted({int(q) for q in quantiles})
     if not bounds:
         return df.withColumn("block", F.lit(0))
-    return df.withColumn("block", _bucket(key, bounds))
+    place = _bucket(key, bounds) if len(bounds) <= TREE_BOUNDS else _searched(bounds)(F.col(key))
+    return df.withColumn("block", F.coalesce(place, F.lit(0)))
 
 
 def _bucket(key: str, bounds: list[int], low: int = 0):
@@ -97,3 +101,15 @@ def _bucket(key: str, bounds: list[int], low: int = 0):
         return F.lit(low)
     mid = len(bounds) // 2
     return F.when(F.col(key) >= bounds[mid], _bucket(key, bounds[mid + 1 :], low + mid + 1)).otherwise(_bucket(key, bounds[:mid], low))
+
+
+def _searched(bounds: list[int]):
+    """The same for many bounds: a binary search over batches of keys, so that the expression doesn't grow with them."""
+    edges = np.array(bounds, np.int64)
+
+    @F.arrow_udf("int")
+    def place(keys: pa.Array) -> pa.Array:
+        known = pc.fill_null(keys.cast(pa.int64()), int(edges[0]) - 1).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(edges, known, "right").astype(np.int32))
+
+    return place

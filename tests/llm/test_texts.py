@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language_id, line_dedup, spotsigs, token_records, toxicity, url_filter
+from tessera.llm import bpe, common, language_id, line_dedup, spotsigs, token_records, toxicity, url_filter
 from tessera.llm.common import range_blocks
 
 from .cases import by_id, frame, texts, words, written
@@ -60,7 +60,9 @@ def test_token_records_equal_the_library_and_hold_order(spark, tmp_path):
         token_records.read_records(files, folder).collect()
 
 
-def test_range_blocks_rise_with_the_key(spark):
+@pytest.mark.parametrize("tree", [512, 0])
+def test_range_blocks_rise_with_the_key(spark, monkeypatch, tree):
+    monkeypatch.setattr(common, "TREE_BOUNDS", tree)
     df = spark.createDataFrame([(i % 50 if i % 7 else None,) for i in range(400)], "k long")
     rows = range_blocks(df, "k", 6).groupBy("block").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("block").collect()
     assert len(rows) == 6 and all(x["b"] < y["a"] for x, y in zip(rows, rows[1:]))
