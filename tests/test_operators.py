@@ -194,3 +194,27 @@ def test_smoothing_keeps_new_edges(spark):
     old = spark.createDataFrame([(1, 0.5)], "k int, p double")
     new = spark.createDataFrame([(1, 1.0), (2, 0.4)], "k int, p double")
     assert {r["k"]: r["p"] for r in transitions.smoothed(old, new, ["k"], 0.1).collect()} == {1: 0.55, 2: 0.4}
+
+
+def test_phred_reader(spark, tmp_path):
+    path = tmp_path / "pl.vcf"
+    path.write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\nchr1\t1\t.\tA\tG\t.\t.\t.\tGT:PL\t0/1:10,0,30\t0/0:-1,2,3\nchr1\t1\t.\tA\tG\t.\t.\t.\tGT\t0/1\t0/0\n")
+    found = variants.read_phred(spark, str(path))
+    assert sorted((r["sample"], r["pl0"], r["pl1"], r["pl2"]) for r in found.collect()) == [("s1", 0, 0, 0), ("s1", 10, 0, 30), ("s2", 0, 0, 0), ("s2", 0, 0, 0)]
+    assert [tuple(r) for r in variants.repeated_positions(found).collect()] == [("chr1", 1)]
+
+
+def test_cohort_tables(spark, tmp_path):
+    from tessera.sources import cohort
+
+    m = spark.createDataFrame([("b", "F0", "M", None), ("a", "F0", "F", "x"), ("c", "F1", "F", "y"), (None, "F1", "M", "z"), ("c", "F1", "M", "w")], "name string, gen string, sex string, alias string")
+    assert [(r["sample_index"], r["name"], r["alias"]) for r in cohort.ordered(m, "name", ["a", "b"]).orderBy("sample_index").collect()] == [(0, "a", "x"), (1, "b", "")]
+    assert {(r["name"], r["rows"]) for r in cohort.unmatched(m, "name", ["a", "c", "d"]).collect()} == {("c", 2), ("d", 0)}
+    assert [tuple(r) for r in cohort.candidates(m, "name", "gen", "sex", "F0").collect()] == [(0, "b", "a")]
+    p = spark.createDataFrame([("k", "b", "a", "M"), ("a", None, None, "F"), ("b", "b", "z", "M"), ("l", "a", None, "F")], "child string, f string, m string, sex string")
+    assert {(r["child"], r["slot"], r["fault"]) for r in cohort.invalid_references(p, "child", {"f": "M", "m": "F"}, "sex").collect()} == {("b", "f", "itself"), ("b", "m", "unknown"), ("l", "f", "sex")}
+    row = spark.range(1).select(cohort.generation_of(F.lit("F2_007")).alias("g"), cohort.squeezed(F.lit(" a \t b ")).alias("s"), cohort.depth_label(F.lit(5.0)).alias("d"), cohort.depth_label(F.lit(0.5)).alias("e")).first()
+    assert tuple(row) == ("F2", "a b", "5", "0.5")
+    (tmp_path / "seeds.csv").write_text("child,father,mother,seed_basis,seed_status,report_parent_edges\nc,b,a,x,ok,true\nc,b,a,x,ok,true\n")
+    with pytest.raises(Exception, match="a child twice"):
+        cohort.read_seeds(spark, str(tmp_path / "seeds.csv")).collect()
