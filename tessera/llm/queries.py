@@ -1,10 +1,10 @@
 """The queries of this subpackage and their DuckDB SQL, by name."""
 
 from .bpe import op9_byte_bpe
-from .decontaminate import op3_decontamination
+from .decontaminate import OP3_SQL, op3_decontamination
 from .language_id import op6_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
-from .ngram_join import op10_ngram_join
+from .ngram_join import OP10_SQL, op10_ngram_join
 from .spotsigs import op4_spotsigs
 from .substring_dedup import op5_substring_dedup
 from .token_records import op8_token_records
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_join": op10_ngram_join,
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op10_ngram_join": OP10_SQL}
