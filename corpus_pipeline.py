@@ -33,8 +33,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of least id; rows that share an id are one document, of which the least text stays."""
     groups = staged(ngram_join.ngram_components(docs), "groups")
-    kept = groups.filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
+    few = dropped.count() <= ngram_join.BROADCAST_IDS  # else texts and ids are joined by shuffle
+    out = docs.join(F.broadcast(dropped) if few else dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
     if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return out
     first = Window.partitionBy("doc_id").orderBy("text")
