@@ -30,7 +30,7 @@ from .common import documents, over_arrow, slices
 from .textbytes import ALNUM, FOLD, utf8, word_hashes, word_spans
 
 WINDOW, SAMPLE = 10, 16
-SHARD_BYTES, ITEM_BYTES = 4 << 20, 16 << 20
+SHARD_BYTES, ITEM_BYTES = 1 << 20, 16 << 20
 
 
 class FMIndex:
