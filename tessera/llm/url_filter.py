@@ -10,9 +10,11 @@ mark at both ends. The score is the difference of log-likelihoods, rejected less
 characters; a score above the threshold blocks. The threshold is calibrated: the one, of THRESHOLDS tried, that best
 balances the two kinds of error over URLs that a rule decides and neither model learnt from.
 
-Counts are gathered by Spark from all URLs that a rule decides, but for one in HOLD, kept for calibration; n-grams are
-counted in BUCKETS cells an order, so the counts have a proven size (4 * ORDER * BUCKETS numbers) however many URLs there
-are; contexts that share a cell blur, and only there. The rules' verdicts are all that is learnt from.
+Counts are gathered by Spark from all URLs that a rule decides, but for one in HOLD, kept for calibration. They are
+exact: an n-gram of ORDER bytes is a number of its own (BITS bits a byte), and the table of them grows with the input.
+Counts of shorter n-grams and of contexts are sums over it, as each character ends one n-gram of each order. The score
+of a character depends on the n-gram of ORDER bytes that it ends, so a block of URLs asks for the score of each of its
+distinct ones once. The rules' verdicts are all that is learnt from.
 
 Host: after the first `://`, up to `/`, `?`, `#` or the end, A-Z lower-cased; path: from there up to `?`, `#` or the
 end. Null, or no `://`: both are empty, and the models judge the whole URL (null: an empty one). Without URLs of both
@@ -25,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import over_arrow, plus
-from .textbytes import BASE, FOLD, U64, mix, utf8
+from .common import over_arrow, plus, slices, staged
+from .textbytes import FOLD, utf8
 
-ORDER, BUCKETS, PRIOR, HOLD = 6, 1 << 17, 3.0, 8
+ORDER, PRIOR, HOLD = 6, 3.0, 8
+#: Bits of a byte in an n-gram's number (256 values and the mark), rows of a block, and n-grams that a task holds before it sends them on.
+BITS, BLOCK_ROWS, HELD = 9, 1 << 12, 1 << 19
 THRESHOLDS = np.linspace(-3, 3, 1201)
 #: (host, path beginning, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -56,87 +60,94 @@ def ruled(urls: DataFrame, url: str = "url", rules: tuple = RULES) -> DataFrame:
     return df.withColumns({"rule": rule, "ruling": ruling})
 
 
-def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each character of the texts: its cell in each order (n-gram of 1 to ORDER bytes), the cell of the context before it, and the text."""
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each character of the texts: the n-gram of ORDER bytes that it ends, its own byte lowest, and the text."""
     data, offsets = utf8(column)
     n = np.diff(offsets) + 1
     begin = np.concatenate(([0], np.cumsum(n)))
-    x = np.zeros(begin[-1], np.uint64)  # a mark ends each text
+    x = np.zeros(begin[-1], np.int64)  # a mark ends each text
     place = np.arange(len(data)) + np.repeat(np.arange(len(n)), n - 1)
-    x[place] = FOLD[data].astype(np.uint64) + U64(1)
+    x[place] = FOLD[data].astype(np.int64) + 1
     text = np.repeat(np.arange(len(n)), n)
     within = np.arange(len(x)) - begin[:-1][text]
-    gram, context = np.zeros((ORDER, len(x)), np.int64), np.zeros((ORDER, len(x)), np.int64)
-    key, before = x.copy(), np.zeros(len(x), np.uint64)
+    gram = x.copy()
+    for k in range(1, ORDER):
+        past = np.where(within >= k, np.concatenate((np.zeros(k, np.int64), x[:-k]))[: len(x)], 0)
+        gram |= past << (BITS * k)
+    return gram, text
+
+
+_ASKED = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("allow", pa.int64()), ("deny", pa.int64())])
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Rows of (block, gram, allow, deny) with the counts of equal block and gram summed."""
+    block, gram, allow, deny = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((gram, block))
+    block, gram = block[order], gram[order]
+    first = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (gram[1:] != gram[:-1]))))
+    return block[first], gram[first], np.add.reduceat(allow[order], first), np.add.reduceat(deny[order], first)
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of each block, with their counts in accepted and in rejected URLs that are learnt from."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for batch in slices(batches, "site"):
+        gram, text = _grams(batch["site"])
+        block = batch["block"].to_numpy()[text]
+        learnt = np.array([{"allow": 1, "block": 2}.get(x, 0) for x in batch["learnt"].to_pylist()], np.int64)[text]
+        held.append(_summed([(block, gram, (learnt == 1).astype(np.int64), (learnt == 2).astype(np.int64))]))
+        n += len(held[-1][0])
+        if n > HELD:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(held)], schema=_ASKED)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(held)], schema=_ASKED)
+
+
+def model(asked: DataFrame) -> DataFrame | None:
+    """(gram, weight): of each n-gram, the log-likelihood of its last character among rejected URLs less that among accepted; None unless there are URLs of both verdicts.
+
+    From the shortest n-grams to the longest. A context has no more than 257 n-grams, and an n-gram no more than 257
+    that are longer by one byte, so no key is hot."""
+    counts = staged(asked.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("deny").alias("deny")), "grams")
+    total = counts.agg(F.sum("allow"), F.sum("deny")).first()
+    if not total[0] or not total[1]:
+        return None
+    shorter = None
     for k in range(ORDER):
-        if k:
-            past = np.where(within >= k, np.concatenate((np.zeros(k, np.uint64), x[:-k]))[: len(x)], U64(0))
-            before = before * U64(BASE) + past + U64(1)
-            key = key * U64(BASE) + past + U64(1)
-        gram[k] = mix(mix(before) + x + U64(k << 32)) & U64(BUCKETS - 1)
-        context[k] = mix(mix(before) + U64(k << 32) + U64(1 << 40)) & U64(BUCKETS - 1)
-    return gram, context, text
-
-
-_COUNTS = pa.schema([("ruling", pa.string()), ("kind", pa.int32()), ("cell", pa.int32()), ("n", pa.int64())])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task, by verdict and kind: n-grams of each order, then contexts."""
-    seen: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for verdict in ("allow", "block"):
-            part = batch.filter(pa.array([x == verdict for x in batch["ruling"].to_pylist()], pa.bool_()))
-            if part.num_rows:
-                gram, context, _ = _cells(part["site"])
-                total = seen.setdefault(verdict, np.zeros((2 * ORDER, BUCKETS), np.int64))
-                for k in range(ORDER):
-                    total[k] += np.bincount(gram[k], minlength=BUCKETS)
-                    total[ORDER + k] += np.bincount(context[k], minlength=BUCKETS)
-    for verdict, total in seen.items():
-        for kind in range(2 * ORDER):
-            cell = np.flatnonzero(total[kind])
-            yield pa.RecordBatch.from_arrays([pa.array([verdict] * len(cell), pa.string()), pa.array(np.full(len(cell), kind, np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[kind][cell])], schema=_COUNTS)
-
-
-def _pack(key: tuple, table: pa.Table) -> pa.Table:
-    """The counts of a verdict and kind, BUCKETS at most, as one array."""
-    out = np.zeros(BUCKETS, np.float64)
-    out[table["cell"].to_numpy()] = table["n"].to_numpy()
-    return pa.table({"ruling": [key[0].as_py()], "kind": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([out.astype("<f4").tobytes()], pa.binary())})
-
-
-def learn(decided: DataFrame) -> dict[str, np.ndarray]:
-    """The counts of both models from rows (site, ruling); none unless there are URLs of both verdicts."""
-    counts = over_arrow(decided.select("site", "ruling"), _count, "ruling string, kind int, cell int, n long").groupBy("ruling", "kind", "cell").agg(F.sum("n").alias("n"))
-    packed = counts.groupBy("ruling", "kind").applyInArrow(_pack, "ruling string, kind int, counts binary").collect()  # 4 * ORDER rows
-    models: dict[str, np.ndarray] = {}
-    for r in packed:
-        models.setdefault(r["ruling"], np.zeros((2 * ORDER, BUCKETS), np.float32))[r["kind"]] = np.frombuffer(r["counts"], "<f4")
-    return models if len(models) == 2 else {}
-
-
-def _chances(model: np.ndarray, gram: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """The log-probability of each character."""
-    chance = np.full(gram.shape[1], 1 / 257)
-    for k in range(ORDER):
-        chance = (model[k][gram[k]] + PRIOR * chance) / (model[ORDER + k][context[k]] + PRIOR)
-    return np.log(np.minimum(chance, 1.0))
-
-
-def score(df: DataFrame, models: dict[str, np.ndarray], site: str = "site", out: str = "score") -> DataFrame:
-    """Adds the length-normalised difference of log-likelihoods, rejected less accepted; 0 without models."""
-    df, schema = plus(df, f"`{out}` double", out)
-    if not models:
-        return df.withColumn(out, F.lit(0.0))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram, context, text = _cells(batch[site])
-            each = _chances(models["block"], gram, context) - _chances(models["allow"], gram, context)
-            yield batch.append_column(out, pa.array(np.bincount(text, each, batch.num_rows) / np.maximum(1, np.bincount(text, minlength=batch.num_rows))))
-
-    return over_arrow(df, run, schema)
+        mask = (1 << (BITS * (k + 1))) - 1
+        here = counts.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("allow").alias("allow"), F.sum("deny").alias("deny")) if k < ORDER - 1 else counts
+        context = Window.partitionBy(F.shiftright("gram", BITS))
+        here = here.withColumns({"in_allow": F.sum("allow").over(context), "in_deny": F.sum("deny").over(context)})
+        if shorter is None:
+            here = here.withColumns({"p_allow": F.lit(1 / 257), "p_deny": F.lit(1 / 257)})
+        else:
+            here = here.withColumn("end", F.col("gram").bitwiseAND(F.lit(mask >> BITS))).join(shorter, "end")
+        chance = {v: (F.col(v) + PRIOR * F.col(f"p_{v}")) / (F.col(f"in_{v}") + PRIOR) for v in ("allow", "deny")}
+        shorter = here.select(F.col("gram").alias("end"), *[c.alias(f"p_{v}") for v, c in chance.items()])
+    return shorter.select(F.col("end").alias("gram"), (F.ln("p_deny") - F.ln("p_allow")).alias("weight"))
+
+
+def score(blocks: DataFrame, asked: DataFrame, weights: DataFrame | None, out: str = "score") -> DataFrame:
+    """Adds the length-normalised difference of log-likelihoods, rejected less accepted; 0 without a model."""
+    blocks, schema = plus(blocks, f"`{out}` double", out)
+    if weights is None:
+        return blocks.withColumn(out, F.lit(0.0))
+    answers = asked.select("block", "gram").join(weights, "gram").select("block", "gram", "weight")
+
+    def run(urls: pa.Table, table: pa.Table) -> pa.Table:
+        known, weight = table["gram"].to_numpy(), table["weight"].to_numpy()
+        order = np.argsort(known, kind="stable")
+        known, weight = known[order], weight[order]
+        found = [np.zeros(0)]
+        for batch in slices(urls.to_batches(), "site"):
+            gram, text = _grams(batch["site"])
+            found.append(np.bincount(text, weight[np.searchsorted(known, gram)], batch.num_rows) / np.bincount(text, minlength=batch.num_rows))
+        return urls.append_column(out, pa.array(np.concatenate(found)))
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -155,14 +166,17 @@ def calibrate(scored: DataFrame) -> float:
 def judge(urls: DataFrame, url: str = "url", rules: tuple = RULES) -> DataFrame:
     """The rows with host, path, rule, verdict and score; columns of these names, or of `ruling` and `site`, are replaced."""
     site = F.lower(F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://", ""))
-    urls = urls.drop(*{"host", "path", "rule", "ruling", "verdict", "score", "site"} - {url})
+    urls = urls.drop(*{"host", "path", "rule", "ruling", "verdict", "score", "site", "block", "learnt"} - {url})
     df = ruled(urls, url, rules).withColumn("site", site)
     kept = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("site")), F.lit(HOLD)) == 0
-    decided = df.filter("ruling is not null").select("site", "ruling")
-    models = learn(decided.filter(~kept))
-    threshold = calibrate(score(decided.filter(kept), models)) if models else 0.0
+    place = F.floor(F.monotonically_increasing_id() / BLOCK_ROWS)
+    blocks = staged(df.withColumns({"block": place, "learnt": F.when(~kept, F.col("ruling"))}), "urls")
+    asked = staged(over_arrow(blocks.select("block", "site", "learnt"), _ask, "block long, gram long, allow long, deny long"), "asked")
+    weights = model(asked)
+    scored = staged(score(blocks, asked, weights), "scored") if weights is not None else score(blocks, asked, None)
+    threshold = calibrate(scored.filter("ruling is not null and learnt is null")) if weights is not None else 0.0
     verdict = F.coalesce("ruling", F.when(F.col("score") > threshold, "block").otherwise("allow"))
-    return score(df, models).withColumn("verdict", verdict).drop("ruling", "site")
+    return scored.withColumn("verdict", verdict).drop("ruling", "site", "block", "learnt")
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:

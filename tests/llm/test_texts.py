@@ -1,8 +1,10 @@
 """Encoders, fingerprints, models, filters and the pipeline on the awkward documents."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -137,6 +139,38 @@ def test_url_models_follow_the_rules(spark):
     assert len(found) == 120 and right >= 110
 
 
+def test_url_models_count_exactly(spark):
+    """Scores are those of plain counts, where the n-grams are many and a block of URLs is one of several."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-é") for _ in range(rng.randint(8, 30)))
+    urls = [f"http://{word()}.{rng.choice(['com/en', 'net/de', 'dom/en', 'bet/de'])}/{word()}" for _ in range(5000)] + ["http://HOT.com/en/1"] * 40 + [None, ""]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
+    site = F.lower(F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)^.*?://", ""))
+    rows = url_filter.ruled(df, "url").select("page_id", "ruling", site.alias("site"), (F.pmod(F.xxhash64(F.lit("calibrate"), site), F.lit(url_filter.HOLD)) == 0).alias("kept")).collect()
+    n = {v: Counter() for v in ("allow", "block")}
+    fold = lambda text: [0] * 5 + [x + 1 for x in text.encode()] + [0]
+    for r in rows:
+        if r["ruling"] and not r["kept"]:
+            x = fold(r["site"])
+            for i in range(5, len(x)):
+                for k in range(6):
+                    n[r["ruling"]][(k, *x[i - k : i + 1])] += 1
+                    n[r["ruling"]][("context", k, *x[i - k : i])] += 1
+
+    def chance(counts, x, i):
+        p = 1 / 257
+        for k in range(6):
+            p = (counts[(k, *x[i - k : i + 1])] + 3 * p) / (counts[("context", k, *x[i - k : i])] + 3)
+        return p
+
+    found = {r["page_id"]: r["score"] for r in url_filter.judge(df).collect()}
+    assert len(found) == len(urls)
+    for r in rows:
+        x = fold(r["site"])
+        each = [math.log(chance(n["block"], x, i)) - math.log(chance(n["allow"], x, i)) for i in range(5, len(x))]
+        assert found[r["page_id"]] == pytest.approx(sum(each) / len(each), abs=1e-9)
+
+
 def test_toxicity_finds_misspelt_words_in_long_texts(spark):
     rng = random.Random(3)
     bad = ["wretchedfool", "grumblescum", "vilething"]
