@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,30 +22,44 @@ def fam(pedigree: DataFrame, family: str, child: str, father: str, mother: str,
     return pedigree.select(F.lit(family).alias("fid"), F.col(child).cast("string").alias("iid"), text(father).alias("pid"), text(mother).alias("mid"), code.alias("sex"), F.lit(-9).alias("phenotype"))
 
 
-def generations(edges: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
-    """(node, generation): roots 1, others one more than their latest parent; null on or behind a cycle, or beyond `most`.
+def _written(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder, or where none is set (local tests) to one of our own: the next round begins there."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def generations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, generation): roots 1, others one more than their latest parent; null on or behind a cycle, or behind a parent that is no node.
 
-    A recursive query: a level at a time, Spark joins the nodes reached to the edges."""
-    spark = nodes.sparkSession
-    edges.createOrReplaceTempView("__edges")
-    nodes.createOrReplaceTempView("__nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(node, generation) AS (
-            SELECT n.node, 1 FROM __nodes n LEFT ANTI JOIN __edges e ON n.node = e.child
-            UNION ALL
-            SELECT e.child, r.generation + 1 FROM reach r JOIN __edges e ON e.parent = r.node WHERE r.generation < {int(most)})
-        SELECT n.node, max(r.generation) AS generation FROM __nodes n LEFT JOIN reach r ON n.node = r.node GROUP BY n.node""")
+    A round for each generation, however many there are: a child is named when all its parents are. What is left waits
+    in the checkpoint folder for the next round; the rounds end when no node is named."""
+    edges = _written(edges.select("child", "parent").distinct())
+    nodes = _written(nodes.select("node").distinct())
+    left = edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("open"))
+    last = _written(nodes.join(left, "node", "left_anti"))
+    named = []
+    while not last.isEmpty():
+        named.append(last.withColumn("generation", F.lit(len(named) + 1)))
+        done = edges.join(last.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("done"))
+        met = _written(left.join(done, "node", "left").select("node", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open")))
+        left, last = met.filter("open > 0"), met.filter("open = 0").select("node")
+    if not named:
+        return nodes.withColumn("generation", F.lit(None).cast("int"))
+    return nodes.join(reduce(DataFrame.unionByName, named), "node", "left")
 
 
-def on_cycles(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """The nodes on or behind a directed cycle and before another: those that stay when nodes without parents, or without children, are peeled off."""
-    left = edges.select("child", "parent").distinct()
-    for _ in range(rounds):
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """The nodes on or behind a directed cycle and before another: those that stay when nodes without parents, or without children, are peeled off until none is left to peel."""
+    left = _written(edges.select("child", "parent").distinct())
+    n = left.count()
+    while True:
         inner = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent")
-        inner = inner.checkpoint() if inner.sparkSession.sparkContext.getCheckpointDir() else inner
-        if inner.count() == left.count():
+        left, before = _written(inner), n
+        n = left.count()
+        if n == before:
             break
-        left = inner
     return left.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
 
 

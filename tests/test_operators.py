@@ -179,6 +179,16 @@ def test_graphs(spark):
     assert {r["node"] for r in graph.on_cycles(edges).collect()} == {5, 6}
 
 
+def test_graphs_of_any_depth(spark):
+    chain = [(i + 1, i) for i in range(1, 14)] + [(14, 1), (20, 14), (20, 21), (21, 20)]
+    edges = spark.createDataFrame(chain, "child long, parent long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(1, 15), 20, 21]], "node long")
+    expected = {i: i for i in range(1, 15)} | {20: None, 21: None}
+    assert {r["node"]: r["generation"] for r in graph.generations(edges, nodes).collect()} == expected
+    assert {r["generation"] for r in graph.generations(edges.filter("child > 19 and parent > 19"), nodes.filter("node > 19")).collect()} == {None}
+    assert {r["node"] for r in graph.on_cycles(edges.union(spark.createDataFrame([(100 + i, 99 + i) for i in range(45)], edges.schema))).collect()} == {20, 21}
+
+
 def test_windows_and_profiles(spark):
     df = spark.createDataFrame([(i,) for i in range(23)], "x long")
     assert [r["x"] for r in windows.systematic(df.withColumn("k", F.lit(1)), ["k"], ["x"], 5).orderBy("x").collect()] == [i * 23 // 5 for i in range(5)]
