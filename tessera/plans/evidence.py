@@ -159,7 +159,7 @@ def q_block_discovery(spark, sf_dir):
     """Haplotypes of each label's vectors, their components' signs taken as uncertain alleles."""
     x = 1 / (1 + F.exp(-8 * F.col("x")))
     p = _bits(spark, sf_dir).select("label", F.col("vec_id").alias("sample"), F.col("site").cast("long").alias("site"), ((1 - x) * (1 - x)).alias("p0"), (2 * x * (1 - x)).alias("p1"), (x * x).alias("p2"))
-    return discovery.discover(p, "label", "int", "sample", "site", most=4)
+    return discovery.discover(p, "label", "int", "sample", "site")
 
 
 _HAPS = """b AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS site, unnest(embedding)::DOUBLE AS x FROM embeddings),

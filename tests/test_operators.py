@@ -172,6 +172,20 @@ def test_pedigree_scores_prefer_the_parents():
     assert pedigree_hmm.trio_score(child, hom, f, m, switch, stay, -8.0) > pedigree_hmm.trio_score(child, hom, f, other, switch, stay, -8.0)
 
 
+def test_discovery_grows_as_far_as_the_cost_falls(spark):
+    rng = np.random.default_rng(11)
+    haps = rng.integers(0, 2, (11, 40))
+    rows = []
+    for sample in range(88):
+        g = 2 * haps[sample % 11]
+        rows += [(1, sample, site, *[0.98 if g[site] == a else 0.01 for a in range(3)]) for site in range(40)]
+    df = spark.createDataFrame(rows, "block int, sample long, site long, p0 double, p1 double, p2 double")
+    found: dict = {}
+    for r in discovery.discover(df, "block", "int", "sample", "site").collect():
+        found.setdefault(r["hap"], {})[r["site"]] = r["allele"]
+    assert {tuple(h[s] for s in range(40)) for h in found.values()} >= {tuple(h) for h in haps.tolist()}
+
+
 def test_graphs(spark):
     edges = spark.createDataFrame([(2, 1), (3, 2), (3, 1), (5, 6), (6, 5), (7, 5)], "child long, parent long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 8)], "node long")
