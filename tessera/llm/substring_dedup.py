@@ -187,7 +187,7 @@ def _cut_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         start = begin + np.arange(len(begin)) - np.repeat(np.cumsum(n) - n, n)
         text = np.repeat(text, n)
         at = start - place + offsets[text]
-        here = (at >= offsets[text]) & (at + WINDOW <= offsets[text + 1]) & (at < CHUNK if place or len(data) > CHUNK else True)
+        here = (at >= offsets[text]) & (at + WINDOW <= offsets[text + 1])  # the windows of a part begin before CHUNK, as its bytes end
         at, text, start = at[here], text[here], start[here]
         one = mix(Rolling(data, BASE, BYTE_VALUES).spans(at, at + WINDOW))
         two = mix(Rolling(data, BASE_2, VALUES_2).spans(at, at + WINDOW))

@@ -133,6 +133,19 @@ def test_phrases_of_a_long_text_do_not_depend_on_the_chunks(spark, monkeypatch):
         assert bytes(found[i]["kept"]) == kept
 
 
+def test_the_last_window_of_a_text_just_short_of_chunks_counts(spark, monkeypatch):
+    rng = __import__("random").Random(7)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 4096)
+    end = words(rng, 60)[:100]
+    for n in (4195, 4196, 4197):
+        one = words(rng, 2000)[: n - 100] + end
+        values = [one, words(rng, 20) + end + words(rng, 20)]
+        assert len(one) == n
+        found = by_id(substring_dedup.remove_repeats(frame(spark, values)))
+        for i, (_, _, _, kept) in enumerate(removed(values)):
+            assert bytes(found[i]["kept"]) == kept, (n, i)
+
+
 def brute_hits(values, items, width=10):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     window = {}
