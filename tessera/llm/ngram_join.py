@@ -8,19 +8,26 @@ Such sets differ in at most (|A| + |B|) / 9 elements, and the larger has at most
   A linked pair has a group with at most one unequal part: it agrees on one of the group's three pairs of
   parts. A signature is the hash of such a pair of parts of a set: so every linked pair shares a signature.
 * Signatures of no element would be shared by unrelated texts. n1 has some slack, so that nearly every set
-  must share signatures with elements; from the counts of its empty parts a set knows how many (`need`).
-  Only sets with no such assurance sign with empty parts, in a space of their own: a pair needs them only if
-  neither has the assurance.
-* A text that shares fewer signatures than it needs, with all others together, has no link and goes.
-
-Equal sets are one node, the least id of them. In each signature's group all are compared with the one that shares
-most; then links make components, and only groups which still hold several components have their members of
+  must share signatures with elements; from the counts of its empty parts a set knows how many. It signs
+  with the first groups only, up to the group from which on every partner must share ENOUGH signatures with it:
+  of two partners the one with fewer groups has that assurance within them, and the other signs with them too.
+  Sets that never get there sign with all groups. `need` is what a set is sure to share, ENOUGH at most.
+  Only sets with no assurance at all sign with empty parts, in a space of their own: a pair needs them only if
+  neither has one.
+* A text that shares fewer signatures than it needs, with all others together, has no link and goes. So does a pair
+  that shares fewer than either needs, or whose sizes are too far apart.
+
+Equal sets are one node, the least id of them. Each node is compared with one lead: of the leads of its signatures' groups,
+each the text that shares most, the one with which it shares most. Links make components, and only groups which still
+hold several components have their members of
 different components compared. So copies are not expanded into pairs and no link between different sets that matters to
-the groups is lost. Every comparison is exact on the shingle hashes. Signatures travel in blocks of 16-byte
-records, dealt by their hash; nothing is collected to the driver.
+the groups is lost. Every comparison is exact on the shingle hashes. Signatures travel in blocks of 11-byte
+records, dealt by their hash; a signature that a task meets in several sets is known to be shared, and all but one of its
+records go to blocks dealt by set, so a signature of very many sets fills no block. Nothing is collected to the driver.
 
 Null text, empty text and text of white space have an empty set, which links with nothing. Rows that share an
-id are one document, linked as any of its texts is. A null id gets a null component.
+id are one document, linked as any of its texts is. A null id gets a null component. The result has only the columns
+doc_id, n_shingles and component_id, whatever others the rows have.
 """
 
 from __future__ import annotations
@@ -34,18 +41,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, over_arrow, slices, staged
+from .common import discard, documents, over_arrow, slices, staged
 from .components import components
 from .textbytes import FOLD, NOT_SPACE, U64, mix, several, shingles, utf8, word_hashes, word_spans
 
 WIDTH = 5
 #: Highest over lowest size of a band; 5/4 is the least with which a partner is at most one band away.
 RATIO = 1.6
+#: Signatures that a pair must share where sets are large enough to have so many to spare.
+ENOUGH = 6
+#: Bytes of a signature and of a set's key in a record; a block's number makes up for the signature's other bytes.
+SIG_BYTES, KEY_BYTES = 5, 6
 #: Bytes of signature records in a block, and records that a task holds before it deals them out.
 BLOCK_BYTES, HELD = 8 << 20, 1 << 19
-#: Largest group of a signature whose pairs are joined; nodes of a side of a block in larger ones, and columns of a product.
-FEW, BLOCK_NODES, COLUMNS = 40, 1000, 4096
-#: Ids up to which candidates are broadcast to the scan of texts (16 MB); beyond, the texts are joined by shuffle.
+#: Largest group of a signature whose pairs are joined; nodes and bytes of sets of a side of a block in larger ones, and columns of a product.
+FEW, BLOCK_NODES, SIDE_BYTES, COLUMNS = 40, 1000, 16 << 20, 4096
+#: Rows of ids up to which a table is broadcast to a scan (some 16 to 32 MB); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
@@ -86,9 +97,17 @@ class Signing:
         none = (count == 0).reshape(-1, 3)
         self.empty = np.stack([none[:, a] & none[:, b] for a, b in _PAIRS], 1)
         self.entry = np.repeat(np.arange(len(self.set)), self.groups)
-        least = np.where(self.differ <= self.groups, 3 * self.groups - 2 * self.differ, 2 * self.groups - self.differ)
+        #: Groups of each entry are counted from 1; sure is what it must share within its groups up to each.
+        begin = np.cumsum(self.groups) - self.groups
+        self.number = np.arange(1, len(self.entry) + 1) - begin[self.entry]
+        blank = np.cumsum(self.empty.sum(axis=1))
+        before = np.concatenate(([0], blank))[begin]
+        d = self.differ[self.entry]
+        sure = np.where(d <= self.number, 3 * self.number - 2 * d, 2 * self.number - d) - (blank - before[self.entry])
+        last = self.groups[self.entry]
+        self.used = np.minimum.reduceat(np.where(sure >= ENOUGH, self.number, last), begin) if len(begin) else self.groups
         #: At least so many signatures with elements does an entry share with any linked set of its band.
-        self.assured = least - np.bincount(self.entry, self.empty.sum(axis=1), len(self.set)).astype(np.int64)
+        self.assured = np.minimum(ENOUGH, sure[begin + self.used - 1]) if len(begin) else self.groups
 
     def needed(self, sets: int) -> np.ndarray:
         """How many signatures each set must share, with all others together, to have a link."""
@@ -98,12 +117,11 @@ class Signing:
 
     def signatures(self) -> tuple[np.ndarray, np.ndarray]:
         """All signatures, and the set of each."""
-        within = np.arange(len(self.entry)) - np.repeat(np.cumsum(self.groups) - self.groups, self.groups)
-        place = (within * 8 + (self.band[self.entry] << 40)).astype(np.uint64)
+        place = ((self.number - 1) * 8 + (self.band[self.entry] << 40)).astype(np.uint64)
         sig = np.stack([mix(mix(self.sums[:, a] + U64(1)) + U64(3) * mix(self.sums[:, b] + U64(2)) + mix(place + U64(c))) for c, (a, b) in enumerate(_PAIRS)], 1)
         alone = (self.assured < 1)[self.entry][:, None]
         sig = np.where(self.empty & alone, mix(sig + U64(77)), sig)
-        kept = ~self.empty | alone
+        kept = (~self.empty | alone) & (self.number <= self.used[self.entry])[:, None]
         return sig[kept], np.repeat(self.set[self.entry], kept.sum(axis=1))
 
 
@@ -146,26 +164,54 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, pa.int64()) for x in columns)], ["doc_id", "n_shingles", "one", "two", "need"])
 
 
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    return values.view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _unpacked(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.view(np.uint64).ravel()
+
+
+#: The part of a set's first key that records have, as an expression over it.
+_KEY = f"one & {(1 << 8 * KEY_BYTES) - 1}L"
+
+
 def _sign(blocks: int):
-    """Records (signature, key of its set), dealt to blocks by signature; a set that this task has seen signs once."""
+    """Records (signature, key of its set), dealt to blocks by signature; a set that this task has seen signs once.
+
+    Signatures that the task finds in several sets are shared for sure: their records are dealt by set, and one of each
+    goes to the signature's block as well, where other tasks' records of it may wait."""
+
+    def dealt(block: np.ndarray, rows: np.ndarray, sure: bool) -> pa.RecordBatch:
+        order = np.argsort(block, kind="stable")
+        rows, block = rows[order], block[order]
+        at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+        parts = [rows[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[at[:-1]].astype(np.int32)), pa.array([sure] * len(parts)), pa.array(parts, pa.binary())], ["block", "sure", "records"])
+
+    def deal(sigs: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sig, key = np.concatenate(sigs), np.concatenate(keys).view(np.uint64)
+        order = np.argsort(sig, kind="stable")
+        sig, key = sig[order], key[order]
+        block = ((sig >> U64(32)) * U64(blocks)) >> U64(32)
+        more = several(sig)
+        first = np.concatenate(([True], sig[1:] != sig[:-1]))
+        if more.any():
+            whole = (block[more] << U64(8 * SIG_BYTES)) | (sig[more] & U64((1 << 8 * SIG_BYTES) - 1))
+            by_set = ((mix(sig[more] + key[more]) >> U64(32)) * U64(blocks)) >> U64(32)
+            yield dealt(by_set, np.hstack((_packed(whole, 8), _packed(key[more], KEY_BYTES))), True)
+        sig, key, block = sig[first], key[first], block[first]
+        yield dealt(block, np.hstack((_packed(sig, SIG_BYTES), _packed(key, KEY_BYTES))), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, keys, held, seen = [], [], 0, set()
-
-        def deal() -> pa.RecordBatch:
-            sig, key = np.concatenate(sigs), np.concatenate(keys)
-            block = (((sig >> U64(32)) * U64(blocks)) >> U64(32)).astype(np.int32)
-            order = np.argsort(block, kind="stable")
-            sig, key, block = sig[order], key[order], block[order]
-            at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-            pairs = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(block[at[:-1]]), *(pa.array([x[i:j].tobytes() for i, j in pairs], pa.binary()) for x in (sig, key))], ["block", "sigs", "keys"])
-
         for batch in slices(batches, "text"):
             hashes, bounds = _sets(batch.filter(pc.is_valid(batch["doc_id"])))
             key = _key(hashes, bounds, 11)
             fresh = np.zeros(len(key), bool)
-            for i, x in enumerate(key.tolist()):
+            for i, x in enumerate(zip(key.tolist(), _key(hashes, bounds, 23).tolist(), strict=True)):
                 if x not in seen:
                     seen.add(x)
                     fresh[i] = True
@@ -174,30 +220,40 @@ def _sign(blocks: int):
             keys.append(key[of[fresh[of]]])
             held += len(sigs[-1])
             if held >= HELD:
-                yield deal()
+                yield from deal(sigs, keys)
                 sigs.clear()
                 keys.clear()
                 held = 0
         if held:
-            yield deal()
+            yield from deal(sigs, keys)
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """(sig, key) of the signatures in a block that more than one set has."""
-    sig = np.frombuffer(b"".join(x.as_py() for x in table["sigs"]), np.uint64)
-    key = np.frombuffer(b"".join(x.as_py() for x in table["keys"]), np.int64)
-    order = np.argsort(sig, kind="stable")
-    order = order[several(sig[order])]
-    sig, key = sig[order], key[order]
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    sig, key = sig[new], key[new]
-    many = several(sig)
-    return pa.table({"sig": sig[many].view(np.int64), "key": key[many]})
+def _shared(key: tuple, table: pa.Table) -> pa.Table:
+    """(sig, key) of the signatures in a block that more than one set has, and of those known to be shared."""
+    rows = {True: [], False: []}
+    for sure, part in zip(table["sure"].to_pylist(), table["records"], strict=True):
+        rows[sure].append(np.frombuffer(part.as_buffer(), np.uint8).reshape(-1, (8 if sure else SIG_BYTES) + KEY_BYTES))
+    out = []
+    for sure, parts in rows.items():
+        if not parts:
+            continue
+        both = np.concatenate(parts)
+        sig, of = _unpacked(both[:, :-KEY_BYTES]), _unpacked(both[:, -KEY_BYTES:])
+        if not sure:
+            sig |= U64(key[0].as_py() << 8 * SIG_BYTES)
+            order = np.argsort(sig, kind="stable")
+            order = order[several(sig[order])]
+            sig, of = sig[order], of[order]
+        order = np.lexsort((of, sig))
+        sig, of = sig[order], of[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (of[1:] != of[:-1])
+        sig, of = sig[new], of[new]
+        kept = slice(None) if sure else several(sig)
+        out.append(pa.table({"sig": sig[kept].view(np.int64), "key": of[kept].view(np.int64)}))
+    return pa.concat_tables(out)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +273,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A staged table of ids, to be broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar enough. Sets are joined to both ends by shuffle; Spark splits a hot end."""
-    one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b"))
-    return over_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "hashes_a", "hashes_b"), _compare, "a long, b long")
+    """Of staged pairs (a, b) those whose sets are similar enough. The sets of a travel to those of b, which had best be the fewer; Spark splits a hot b."""
+    ends = staged(pairs.select("b").distinct(), "ends")
+    one = sets.join(_small(pairs), sets.node == pairs.a).select("a", "b", F.col("hashes").alias("hashes_a"))
+    two = sets.join(_small(ends), sets.node == ends.b).select("b", F.col("hashes").alias("hashes_b"))
+    return over_arrow(one.join(two, "b").select("a", "b", "hashes_a", "hashes_b"), _compare, "a long, b long")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Without the pairs whose sizes are too far apart, or (if they have a count of shared signatures, `c`) that share fewer than they need."""
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("need").alias(f"need_{end}")), end)
+    out = pairs.filter("100 * least(size_a, size_b) >= 80 * greatest(size_a, size_b)")
+    return (out.filter("c >= greatest(need_a, need_b)") if "c" in pairs.columns else out).select("a", "b")
 
 
 def _blocks(group: pa.Table) -> pa.Table:
@@ -267,29 +337,33 @@ def _blocks(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
 
 
-def _across(placed: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(placed: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between different parts of the groups of signatures that still hold several.
 
-    In a group of at most FEW nodes each pair of different parts is compared. Larger groups are joined where they
-    share nodes; there, each node outside the largest part is compared with all, in blocks of nodes: a block's pairs
-    are counted by a product of matrices, and only links that tie parts together leave it.
+    In a group of at most FEW nodes each pair of different parts is counted, and compared if it shares as many signatures
+    as it needs. Larger groups are joined where they share nodes; there, each node outside the largest part is compared
+    with all, in blocks of nodes: a block's pairs are counted by a product of matrices, and only links that tie parts
+    together leave it. A pair that a large group holds is compared there, so the counts of others are whole.
     """
     several = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).filter("low < high").select("sig", "size", "lead")
     placed = staged(placed.join(several, "sig"), "open")
     few = placed.filter(F.col("size") <= FEW)
     other = few.select("sig", F.col("node").alias("b"), F.col("part").alias("other"))
-    near = few.join(other, "sig").filter("node < b and part <> other").select(F.col("node").alias("a"), "b").distinct()
-    links = _linked(near, sets)
+    near = few.join(other, "sig").filter("node < b and part <> other").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"))
+    links = _linked(staged(_likely(near, nodes), "pairs"), sets)
     large = placed.filter(F.col("size") > FEW)
     if large.isEmpty():
         return links
     cluster = components(large.select("node", "lead"), "node", "lead")
-    inside = staged(cluster.join(large.select("node", "part").distinct(), "node"), "clusters")
-    count = inside.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = count.groupBy("component").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("all"))
-    largest = largest.select("component", F.col("most.part").alias("main"), "all", (F.col("all") - F.col("most.n")).alias("rest"))
-    chunks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_NODES)).cast("int")
-    sized = inside.join(largest, "component").join(sets, "node").withColumns({"rows": chunks("rest"), "columns": chunks("all")})
+    inside = large.select("node", "part").distinct().join(nodes.select("node", F.col("size").alias("bytes")), "node")
+    inside = staged(cluster.join(inside, "node"), "clusters")
+    count = inside.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("bytes")).alias("bytes"))
+    largest = count.groupBy("component").agg(F.max(F.struct("n", "part", "bytes")).alias("most"), F.sum("n").alias("all"), F.sum("bytes").alias("bytes"))
+    chunks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK_NODES), F.ceil(size / SIDE_BYTES)).cast("int")
+    main = F.col("most.part").alias("main")
+    largest = largest.select("component", main, chunks(F.col("all") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("rows"), chunks(F.col("all"), F.col("bytes")).alias("columns"))
+    inside = staged(inside.join(largest, "component").drop("bytes"), "clusters")
+    sized = sets.join(_small(inside), "node")
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     body = ["component", "node", "part", "hashes"]
@@ -299,11 +373,11 @@ def _across(placed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the id, n_shingles (size of its set) and component_id (the least id that its links reach, its own included)."""
+    """Per row: the id, n_shingles (size of its set) and component_id (the least id that its links reach, its own included). Other columns go."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = staged(over_arrow(docs, _describe, "doc_id long, n_shingles long, one long, two long, need long"), "shingles")
     signing = described.filter("n_shingles > 0 and doc_id is not null")
-    least = staged(signing.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("node"), F.min("need").alias("need")), "sets")
+    least = staged(signing.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("node"), F.min("need").alias("need")).withColumn("key", F.expr(_KEY)), "sets")
     nodes = signing.join(least, ["n_shingles", "one", "two"]).groupBy("doc_id").agg(F.min("node").alias("node"), F.collect_set("node").alias("own"))
     nodes = staged(nodes, "nodes")
     # rows of one id with several sets tie the nodes of these sets
@@ -311,24 +385,27 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(partitions, -(-total * 16 // BLOCK_BYTES))
-    dealt = over_arrow(docs, _sign(blocks), "block int, sigs binary, keys binary").groupBy("block")
+    blocks = max(partitions, -(-total * (SIG_BYTES + KEY_BYTES) // BLOCK_BYTES))
+    dealt = over_arrow(docs, _sign(blocks), "block int, sure boolean, records binary").groupBy("block")
     shared = staged(dealt.applyInArrow(_shared, "sig long, key long"), "shared")
 
-    enough = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(least.select(F.col("one").alias("key"), "node", "need"), "key").filter("n >= need").select("key", "node", "n")
-    members = staged(shared.join(enough, "key").select("sig", "node", "n"), "members")
+    known = least.select("key", "node", "need", F.col("n_shingles").alias("size"))
+    enough = staged(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(known, "key").filter("n >= need"), "enough")
+    members = staged(shared.join(_small(enough), "key").select("sig", "node", "n"), "members")
+    discard(shared, least)
     # the text that shares most is the one least edited, so most others are near to it
-    lead = members.groupBy("sig").agg(F.max(F.struct("n", (-F.col("node")).alias("node"))).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("sig", (-F.col("lead.node")).alias("lead"))
-    pairs = members.join(lead, "sig").filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
-    pairs = staged(pairs.distinct(), "pairs")
+    lead = members.groupBy("sig").agg(F.max(F.struct("n", (-F.col("node")).alias("node"))).alias("lead"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("sig", (-F.col("lead.node")).alias("lead"))
+    met = staged(members.join(lead, "sig").filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("c")), "met")
 
-    grouped = members.join(lead.select("sig"), "sig").select("node").distinct()
-    wanted = F.broadcast(grouped) if grouped.count() <= BROADCAST_IDS else grouped
-    sets = staged(over_arrow(docs.join(wanted, docs.doc_id == wanted.node, "left_semi"), _hashes, "node long, hashes binary"), "sets")
+    wanted = staged(met.select(F.explode(F.array("node", "lead")).alias("node")).distinct(), "wanted")
+    sets = staged(over_arrow(docs.join(_small(wanted), docs.doc_id == wanted.node, "left_semi"), _hashes, "node long, hashes binary"), "sets")
 
-    links = staged(_linked(pairs, sets).unionByName(tied), "linked")
+    best = met.groupBy(F.col("node").alias("a")).agg((-F.max(F.struct("c", (-F.col("lead")).alias("b")))["b"]).alias("b"))
+    links = staged(_linked(staged(_likely(best, enough), "pairs"), sets).unionByName(tied), "linked")
     found = staged(components(links, "a", "b"), "components")
-    more = staged(_across(members.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part")), sets), "linked")
+    placed = members.join(_small(found), "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
+    more = staged(_across(placed, sets, enough), "linked")
+    discard(members, sets, met, wanted, enough)
     if more.count():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
     where = nodes.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
