@@ -9,14 +9,14 @@ id (i64), the record's offset (u64) and its number of ids (u64), so a reader may
 
 Encoding comes first, so blocks shuffle ids and not texts; blocks are ranges of the id column. A task writes files of
 names of its own and returns them: only files in the returned table count, so a task that is run again does no harm.
-Files go to a folder of the shared one, by pyarrow's file systems. A null text is an empty one: its record holds the
+Files go to a folder of the shared one, by pyarrow's file systems. Texts are encoded as Tokenizer.encode(text, add_special_tokens=False)
+does with the file as it is: strings of its special tokens are those tokens. A null text is an empty one: its record holds the
 end id alone.
 """
 
 from __future__ import annotations
 
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,28 +44,25 @@ def masked(data: bytes) -> int:
 
 
 class Words(dict):
-    """The ids of words as bytes, kept: the tokenizer's rules never join what white space parts, so a text's ids are its words' ids."""
+    """The ids of words as bytes, kept: no token and no special token has white space in it, so a text's ids are its words' ids.
+
+    The library encodes each new word whole. Only of a word of ASCII letters, with ASCII punctuation behind it or not, it
+    gets both parts apart, as it cuts there itself; and as nothing normalises such letters but lower case, they go to its merges."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in printable]
-        self.bytelevel = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def __missing__(self, word: str) -> bytes:
         core = word.rstrip(".,;:!?")
-        low = core.lower()
-        if core != word and core and core.isalpha():
+        if not (core.isascii() and core.isalpha()):
+            out = self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        elif core != word:
             out = self[core] + self[word[len(core) :]]
-        elif low.isalpha() and max(low) < "ɐ" and unicodedata.is_normalized("NFC", core):
-            # one run of letters: the normalizers and the splitter leave it whole, so it goes to the merges alone
-            out = self.pack([t.id for t in self.tokenizer.model.tokenize(low.encode().decode("latin-1").translate(self.bytelevel))])
         else:
-            out = self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            out = self.pack([t.id for t in self.tokenizer.model.tokenize(word.lower())])
         if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
                 self.clear()

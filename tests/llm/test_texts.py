@@ -39,7 +39,6 @@ def test_token_records_equal_the_library_and_hold_order(spark, tmp_path):
     P = public()
     file = P.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(file)
-    tokenizer.encode_special_tokens = True
     values = [*texts(), "ÀÉ Straße ﬁ İstanbul ΣΑΣ e\u0301 \u00a0x\u2003y don't DON'T we'll; a.b, ...", "\x1c a\x1fb"]
     ids = [3 * k - 5 for k in range(len(values))]
     blocks = 5
@@ -62,6 +61,22 @@ def test_token_records_equal_the_library_and_hold_order(spark, tmp_path):
         token_records.read_records(files, folder).collect()
 
 
+def test_words_are_encoded_as_by_the_library(monkeypatch):
+    """Specials, letters that grow in lower case, combining marks, apostrophes, digits and all kinds of space, in random order."""
+    from tokenizers import Tokenizer
+
+    P = public()
+    file = P.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(file), random.Random(8)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|end", "oftext|>", "İ", "İ..", "İ!?", "\u0307", "e\u0301", "\u0323\u0307", "\u1100\u1161", "ß", "Σ", "ΑΣ", "ﬁ", "ª", "ǅ", "'s", "'LL", "'", "don't", "Word", "WORDS.", "a.b", "x,", "...", "!?", "12", "٣", "²", "日本", "\U0001f600", "\u200d", "\u00ad"]
+    pieces += [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\u0085", "\x0b", "\x1c", "\x1f", "\u200b", "\ufeff", "\x00"]
+    values = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    known = token_records.Words(file)
+    monkeypatch.setattr(token_records, "CACHE_WORDS", 3000)
+    for t in values:
+        assert np.frombuffer(known.encode(t), f"<u{known.width}").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("tree", [512, 0])
 def test_range_blocks_rise_with_the_key(spark, monkeypatch, tree):
     monkeypatch.setattr(common, "TREE_BOUNDS", tree)
