@@ -19,11 +19,13 @@ or earlier in the same one. Strings never cross documents and are judged on the
 Hashes of 128 bits stand for the strings (two polynomials of different bases), so sorting places equals together
 and needs no text. Records travel in blocks dealt by hash. A task sends a phrase or suffix on once, however often
 it met it, so a string of very many occurrences is no hot key. Null text is empty. A null id counts as the
-smallest. Rows that share an id are one document: what stands at the same place of it is no repeat.
+smallest. Equal rows are one document: what stands at the same place of it is no repeat, so each keeps the same bytes.
+Rows that share an id but not the text are documents of their own, in the order of TAG_BITS bits of their texts' CRC-32.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,9 +41,11 @@ WINDOW, GRAM = 100, 32
 BASE_2, VALUES_2 = 0xD1342543DE82EF95, mix(BYTE_VALUES)
 #: Bytes of text that are parsed at once; places in them take PLACE_BITS bits.
 CHUNK, PLACE_BITS = 8 << 20, 24
+#: A place in a document has the text's tag above it, so that rows of one id but different texts are told apart.
+TAG_BITS, TAG_SHIFT = 23, 40
 #: Bytes of records in a block, and records that a task holds before it deals them out.
 BLOCK_BYTES, HELD = 8 << 20, 1 << 18
-_NO_ID = -(1 << 63)
+_NO_ID, _PLACE = -(1 << 63), (1 << TAG_SHIFT) - 1
 #: Records: two hashes, document, first start, trigger's distance from it, number of starts.
 _RECORD = np.dtype([("a", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("n", "<u2")])
 _FIELDS = list(_RECORD.names)
@@ -82,26 +86,29 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    """(ids, bytes, offsets, place of the first byte in its document, other columns...); a long text comes in parts that overlap by WINDOW - 1 bytes."""
+    """(ids, tags, bytes, offsets, place of the first byte in its document, other columns...); a long text comes in parts that overlap by WINDOW - 1 bytes."""
     for batch in slices(batches, "text"):
         data, offsets = utf8(batch["text"])
         ids = np.array([_NO_ID if x is None else x for x in batch["doc_id"].to_pylist()], np.int64)
         rest = [batch[c] for c in columns]
+        ends = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        tag = np.array([zlib.crc32(data[a:b]) & ((1 << TAG_BITS) - 1) for a, b in ends], np.int64) << TAG_SHIFT
         if len(data) <= CHUNK + WINDOW:
-            yield ids, data, offsets, 0, *rest
+            yield ids, tag, data, offsets, 0, *rest
         else:
             for at in range(0, len(data), CHUNK):
                 part = data[at : at + CHUNK + WINDOW - 1]
-                yield ids, part, np.array([0, len(part)]), at, *rest
+                yield ids, tag, part, np.array([0, len(part)]), at, *rest
 
 
 def _dealer(records: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], blocks: int):
-    """Deals records to blocks by their first hash. Of equal ones a task sends the first; what repeats it goes, marked, to blocks in turn."""
+    """Deals records to blocks by their first hash. Of equal ones a task sends the first; what repeats it elsewhere goes, marked, to blocks in turn."""
 
     def deal(held: list[np.ndarray], turn: int) -> pa.RecordBatch:
         x = np.concatenate(held)
         x = x[np.lexsort((x["lo"], x["doc"], x["r"], x["a"]))]
-        again = np.concatenate(([False], (x["a"][1:] == x["a"][:-1]) & (x["r"][1:] == x["r"][:-1])))
+        new, again = _behind(x)
+        x, again = x[new | again], again[new | again]  # not those that stand where the first of their equals does
         # a trigger's hash is the least of many, so it is mixed anew: blocks of hashes as they are would be very uneven
         block = (((mix(x["a"]) >> U64(32)) * U64(blocks)) >> U64(32)).astype(np.int64)
         block[again] = (x["doc"][again] + turn) % blocks
@@ -139,9 +146,9 @@ def _records(**columns: np.ndarray) -> np.ndarray:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    for ids, data, offsets, place in _chunks(batches):
+    for ids, tag, data, offsets, place in _chunks(batches):
         text, low, n, gram, phrase = phrases(data, offsets)
-        yield _records(a=gram, r=phrase, doc=ids[text], lo=low - offsets[text] + place, n=n)
+        yield _records(a=gram, r=phrase, doc=ids[text], lo=tag[text] + low - offsets[text] + place, n=n)
 
 
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -178,10 +185,10 @@ def _dictionary(table: pa.Table) -> pa.Table:
 
 def _cut_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Each start of the open phrases of a document, with the hashes of the window there."""
-    for ids, data, offsets, place, spans in _chunks(batches, "spans"):
+    for ids, tag, data, offsets, place, spans in _chunks(batches, "spans"):
         count = np.diff(spans.offsets.to_numpy()) if len(spans) else np.zeros(0, np.int64)
         flat = spans.flatten()
-        low, n = flat.field("lo").to_numpy(), flat.field("n").to_numpy()
+        low, n = flat.field("lo").to_numpy() & _PLACE, flat.field("n").to_numpy()
         text = np.repeat(np.arange(len(count)), count)
         begin = np.repeat(low, n)
         start = begin + np.arange(len(begin)) - np.repeat(np.cumsum(n) - n, n)
@@ -191,7 +198,7 @@ def _cut_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         at, text, start = at[here], text[here], start[here]
         one = mix(Rolling(data, BASE, BYTE_VALUES).spans(at, at + WINDOW))
         two = mix(Rolling(data, BASE_2, VALUES_2).spans(at, at + WINDOW))
-        yield _records(a=one, r=two, doc=ids[text], lo=start, n=np.ones(len(at)))
+        yield _records(a=one, r=two, doc=ids[text], lo=tag[text] + start, n=np.ones(len(at)))
 
 
 def _suffixes(table: pa.Table) -> pa.Table:
@@ -210,7 +217,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, starts in enumerate(batch["starts"]):
             text = data[offsets[row] : offsets[row + 1]]
             if starts.is_valid and len(starts.values):
-                low, n = starts.values.field("lo").to_numpy(), starts.values.field("n").to_numpy()
+                low, n = starts.values.field("lo").to_numpy() & _PLACE, starts.values.field("n").to_numpy()
                 edge = np.zeros(len(text) + 1, np.int64)
                 np.add.at(edge, np.minimum(low, len(text)), 1)
                 np.add.at(edge, np.minimum(low + n + WINDOW - 1, len(text)), -1)
@@ -226,7 +233,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, kept (the bytes that stay) and spans (start and end of each maximal removed run)."""
+    """Per row: doc_id, n_bytes, kept (the bytes that stay) and spans (start and end of each maximal removed run). Other columns go."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -235,14 +242,16 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     parsed = over_arrow(docs, _dealer(_parse, blocks), _DEALT).groupBy("block").applyInArrow(_dictionary, out)
     parsed = staged(parsed, "phrases")
 
-    key = F.coalesce("doc_id", F.lit(_NO_ID))
-    still = parsed.filter("open").groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    with_open = docs.join(still, key == F.col("doc")).select("doc_id", "text", "spans")
+    tag = F.coalesce(F.crc32("text"), F.lit(0)).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+    same = (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("doc")) & (tag == F.col("tag"))
+    of_text = ["doc", F.shiftright("lo", TAG_SHIFT).alias("tag")]
+    still = parsed.filter("open").groupBy(*of_text).agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    with_open = docs.join(still, same).select("doc_id", "text", "spans")
     blocks = max(partitions, -(-(parsed.filter("open").agg(F.sum("n")).first()[0] or 0) * 34 // BLOCK_BYTES))
     sorted_out = staged(over_arrow(with_open, _dealer(_cut_suffixes, blocks), _DEALT).groupBy("block").applyInArrow(_suffixes, out), "suffixes")
 
-    repeats = parsed.filter("not open").unionByName(sorted_out).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("starts"))
-    return over_arrow(docs.join(repeats, key == F.col("doc"), "left").select("doc_id", "text", "starts"), _cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    repeats = parsed.filter("not open").unionByName(sorted_out).groupBy(*of_text).agg(F.collect_list(F.struct("lo", "n")).alias("starts"))
+    return over_arrow(docs.join(repeats, same, "left").select("doc_id", "text", "starts"), _cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

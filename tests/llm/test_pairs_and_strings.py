@@ -1,6 +1,7 @@
 """The n-gram join, removal of repeated strings, and decontamination against brute force."""
 
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -123,6 +124,21 @@ def test_repeated_strings_follow_ids_and_bear_odd_rows(spark):
     assert substring_dedup.remove_repeats(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_repeated_strings_of_repeated_rows(spark, monkeypatch, parts):
+    """Equal rows are one document, however they are dealt; rows of one id and different texts are documents of their own."""
+    rng = __import__("random").Random(2)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, a), (5, a), (7, b + a[20:170]), (7, b + a[20:170]), (2, c), (None, c), (None, c), (9, b), (9, c[:150]), (9, b)]
+    monkeypatch.setattr(substring_dedup, "HELD", 200)
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(parts)
+    one = sorted(set(rows), key=lambda r: (-1 if r[0] is None else r[0], zlib.crc32(r[1].encode()) & (1 << substring_dedup.TAG_BITS) - 1))
+    expected = {key: kept for key, (_, _, _, kept) in zip(one, removed([t for _, t in one]))}
+    found = substring_dedup.remove_repeats(df).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["kept"])) for r in found) == sorted((i is None, i or 0, expected[i, t]) for i, t in rows)
+    assert expected[5, a] == a.encode() and len(expected[7, b + a[20:170]]) == len(b)
+
+
 def test_phrases_of_a_long_text_do_not_depend_on_the_chunks(spark, monkeypatch):
     rng = __import__("random").Random(4)
     one = words(rng, 3000)
