@@ -20,12 +20,12 @@ Hashes of 128 bits stand for the strings (two polynomials of different bases), s
 and needs no text. Records travel in blocks dealt by hash. A task sends a phrase or suffix on once, however often
 it met it, so a string of very many occurrences is no hot key. Null text is empty. A null id counts as the
 smallest. Equal rows are one document: what stands at the same place of it is no repeat, so each keeps the same bytes.
-Rows that share an id but not the text are documents of their own, in the order of TAG_BITS bits of their texts' CRC-32.
+Rows that share an id but not the text are documents of their own, in the order of TAG_BITS bits of their texts' CRC-32,
+their tag; a row whose id no other has needs none.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,6 +43,8 @@ BASE_2, VALUES_2 = 0xD1342543DE82EF95, mix(BYTE_VALUES)
 CHUNK, PLACE_BITS = 8 << 20, 24
 #: A place in a document has the text's tag above it, so that rows of one id but different texts are told apart.
 TAG_BITS, TAG_SHIFT = 23, 40
+#: Repeated ids up to which they are broadcast (some 16 MB); beyond, texts are joined to them by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Bytes of records in a block, and records that a task holds before it deals them out.
 BLOCK_BYTES, HELD = 8 << 20, 1 << 18
 _NO_ID, _PLACE = -(1 << 63), (1 << TAG_SHIFT) - 1
@@ -91,8 +93,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]
         data, offsets = utf8(batch["text"])
         ids = np.array([_NO_ID if x is None else x for x in batch["doc_id"].to_pylist()], np.int64)
         rest = [batch[c] for c in columns]
-        ends = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
-        tag = np.array([zlib.crc32(data[a:b]) & ((1 << TAG_BITS) - 1) for a, b in ends], np.int64) << TAG_SHIFT
+        tag = batch["tag"].to_numpy() << TAG_SHIFT
         if len(data) <= CHUNK + WINDOW:
             yield ids, tag, data, offsets, 0, *rest
         else:
@@ -232,9 +233,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "n_bytes", "kept", "spans"])
 
 
+def _tagged(docs: DataFrame) -> DataFrame:
+    """The rows with their tags; 0 where the id is that of no other row."""
+    repeated = staged(docs.groupBy(F.col("doc_id").alias("again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit(True).alias("is"), "again"), "repeated")
+    number = repeated.count()
+    if not number:
+        return docs.withColumn("tag", F.lit(0).cast("long"))
+    met = docs.join(F.broadcast(repeated) if number <= BROADCAST_IDS else repeated, F.col("doc_id").eqNullSafe(F.col("again")), "left")
+    tag = F.coalesce(F.crc32("text"), F.lit(0)).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+    return met.select("doc_id", "text", F.when(F.col("is"), tag).otherwise(0).cast("long").alias("tag"))
+
+
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, kept (the bytes that stay) and spans (start and end of each maximal removed run). Other columns go."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = _tagged(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = "doc long, lo long, n int, open boolean"
@@ -242,11 +254,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     parsed = over_arrow(docs, _dealer(_parse, blocks), _DEALT).groupBy("block").applyInArrow(_dictionary, out)
     parsed = staged(parsed, "phrases")
 
-    tag = F.coalesce(F.crc32("text"), F.lit(0)).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
-    same = (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("doc")) & (tag == F.col("tag"))
-    of_text = ["doc", F.shiftright("lo", TAG_SHIFT).alias("tag")]
+    same = (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("doc")) & (F.col("tag") == F.col("of_tag"))
+    of_text = ["doc", F.shiftright("lo", TAG_SHIFT).alias("of_tag")]
     still = parsed.filter("open").groupBy(*of_text).agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    with_open = docs.join(still, same).select("doc_id", "text", "spans")
+    with_open = docs.join(still, same).select("doc_id", "tag", "text", "spans")
     blocks = max(partitions, -(-(parsed.filter("open").agg(F.sum("n")).first()[0] or 0) * 34 // BLOCK_BYTES))
     sorted_out = staged(over_arrow(with_open, _dealer(_cut_suffixes, blocks), _DEALT).groupBy("block").applyInArrow(_suffixes, out), "suffixes")
 
