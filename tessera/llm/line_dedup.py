@@ -2,7 +2,8 @@
 
 A line of a page is what stands between line feeds, compared without the spaces around it. Its ratio is the
 number of its site's pages that hold it, over all pages of the site. A line is boilerplate where that ratio
-is above `max_ratio` and at least `min_pages` pages hold it; such lines are dropped from every page of that
+is above `max_ratio` and at least `min_pages` pages hold it (three by default, the least that can tell boilerplate
+from a page and its copy, so that the ratio decides at sites of any size); such lines are dropped from every page of that
 site, and only there. Lines of spaces alone, or none, are kept. Null text stays null and has no lines; a
 page that only had boilerplate keeps an empty text. Pages of a null site are a site of their own. Repeated
 rows are pages of their own.
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, staged
 
-MAX_RATIO, MIN_PAGES = 0.05, 10
-#: Boilerplate rows up to which they are sent to every executor (about 40 bytes each); beyond, the join shuffles.
+MAX_RATIO, MIN_PAGES = 0.05, 3
+#: Boilerplate rows up to which they are sent to every executor (about 50 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
 
@@ -25,8 +26,8 @@ def _lines(text: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    """128 bits that stand for a line."""
-    return F.struct(F.xxhash64(F.trim(line)).alias("a"), F.xxhash64(F.lit("line"), F.trim(line)).alias("b"))
+    """128 bits that stand for a line, as text: sets of such keys are compared by hashing."""
+    return F.md5(F.trim(line))
 
 
 def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -53,16 +54,17 @@ def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text",
     small = found.count() <= BROADCAST_ROWS
     bad = found.groupBy("site").agg(F.collect_list("key").alias("keys")).select(F.col("site").alias("__site"), F.col("keys").alias("__keys"))
     joined = pages.join(F.broadcast(bad) if small else bad, F.col(site).eqNullSafe(F.col("__site")), "left")
-    keep = lambda x: F.trim(x).eqNullSafe("") | ~F.array_contains(F.col("__keys"), _key(x))
     lines = _lines(F.col(text))
-    kept = F.when(F.col("__keys").isNull(), lines).otherwise(F.filter(lines, keep))
-    out = joined.withColumn("__kept", kept)
+    # the page's keys that are its site's boilerplate, by one pass over both; then each line looks among these few
+    met = joined.withColumn("__met", F.when(F.col("__keys").isNotNull(), F.array_intersect(F.transform(lines, _key), "__keys")))
+    keep = lambda x: F.trim(x).eqNullSafe("") | ~F.array_contains(F.col("__met"), _key(x))
+    out = met.withColumn("__kept", F.when(F.size("__met") > 0, F.filter(lines, keep)).otherwise(lines))
     columns = {text: F.array_join("__kept", "\n")}
     if n_lines:
         columns[n_lines] = F.greatest(F.size(lines), F.lit(0)).cast("long")
     if n_dropped:
         columns[n_dropped] = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("long")
-    return out.withColumns(columns).drop("__site", "__keys", "__kept")
+    return out.withColumns(columns).drop("__site", "__keys", "__met", "__kept")
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
