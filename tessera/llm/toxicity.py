@@ -7,12 +7,13 @@ cells' embeddings; a linear softmax over it gives the chances of both labels, an
 together (AdaGrad). A text's score is the greatest chance of label 1 among its windows, all of which are judged: a few
 toxic words show in a text of any length. A null text, or one without words, gets the chance of an empty bag.
 
-Labels are those of texts, so training takes from a marked text the windows that the model itself finds worst, and
-from others the worst and random ones; the first round takes random ones from both.
+Labels are those of texts, so training takes from a marked text the window that the model itself finds worst, and
+from others the worst and a random one; the first round takes random ones from both. Each round judges all windows.
 
-The model learns from about MARKED and CLEAN labelled rows (all, if there are fewer), taken by a hash of the id, and
-from at most MARKED_WINDOWS and CLEAN_WINDOWS random windows of each; that bounds what the driver holds. A row is
-marked if any label of its id is 1; null labels teach nothing. Without rows of both labels every score is 0.
+The model learns from about MARKED and CLEAN labelled rows (all, if there are fewer), taken by a hash of the id; from
+fewer where they have more than SAMPLE_BYTES of text, and from none whose text has more than ROW_BYTES. That bounds what
+the driver holds; the rows that are taken are taken whole. A row is marked if any label of its id is 1; labels that are
+null, or neither 0 nor 1, teach nothing. Without rows of both labels every score is 0.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, over_arrow, plus, slices
+from .common import documents, held_out, over_arrow, plus, slices, staged
 from .textbytes import ALNUM, FOLD, U64, Rolling, utf8, word_spans
 
 WORDS, GRAMS, CELL_BITS, SIZE = 8, (3, 4, 5), 17, 8
 CELLS = 1 << CELL_BITS
-MARKED, CLEAN, MARKED_WINDOWS, CLEAN_WINDOWS = 2000, 3000, 64, 24
+MARKED, CLEAN, SAMPLE_BYTES, ROW_BYTES = 2000, 3000, 16 << 20, 1 << 16
 ROUNDS, BATCH, RATE, SEED = 8, 64, 0.2, 7
 THRESHOLD = 0.7
 
@@ -81,30 +82,19 @@ class Bags:
         return cell[np.argsort(window, kind="stable")], np.bincount(window, minlength=len(self.begin))
 
 
-def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Random windows of each text, as texts."""
-    for batch in slices(batches, "text"):
-        data, offsets = utf8(batch["text"])
-        start, end, first = word_spans(FOLD[data], offsets, ALNUM)
-        out = []
-        for doc, label, a, b in zip(batch["doc_id"].to_pylist(), batch["label"].to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-            begin = np.arange(a, b, WORDS)
-            most = MARKED_WINDOWS if label else CLEAN_WINDOWS
-            if len(begin) > most:
-                begin = np.sort(np.random.Generator(np.random.PCG64(abs(doc or 0))).choice(begin, most, replace=False))
-            out.append([data[start[i] : end[min(i + WORDS, b) - 1]].tobytes() for i in begin.tolist()])
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(out, pa.list_(pa.binary()))], ["doc_id", "label", "windows"])
-
-
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[int, list[bytes]]]:
-    """(label, windows) of the sampled rows, in the order of their ids: MARKED + CLEAN rows or so."""
-    marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[int, str]]:
+    """(label, text) of the sampled rows, in the order of their ids and texts: MARKED + CLEAN rows or so, SAMPLE_BYTES or so."""
+    marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("label")).filter("doc_id is not null and label in (0, 1)")
+    marks = marks.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     total = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = lambda label, most: (1 << 20) * min(1.0, most / max(1, total.get(label, 0)))
-    taken = marks.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) < F.when(F.col("label") == 1, share(1, MARKED)).otherwise(share(0, CLEAN)))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(taken), "doc_id")
-    found = over_arrow(rows.select("doc_id", "label", "text"), _sampler, "doc_id long, label int, windows array<binary>").collect()
-    return [(r["label"], [bytes(x) for x in r["windows"]]) for r in sorted(found, key=lambda r: (r["doc_id"], r["windows"])) if r["windows"]]
+    place = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 20))
+    taken = marks.filter(place("toxicity") < F.when(F.col("label") == 1, share(1, MARKED)).otherwise(share(0, CLEAN)))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.octet_length("text") <= ROW_BYTES).join(F.broadcast(taken), "doc_id")
+    rows = staged(rows.select("doc_id", "label", "text"), "sample")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = rows.filter(place("thinner") < (1 << 20) * min(1.0, SAMPLE_BYTES / max(1, size))).collect()
+    return [(r["label"], r["text"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
 
 
 class Model:
@@ -120,17 +110,21 @@ class Model:
         """What each cell, and no cell, adds to the log-odds of label 1: the softmax is linear over the mean."""
         return ((self.weight[:, 1] - self.weight[:, 0]) @ self.embedding).astype(np.float64), float(self.bias[1] - self.bias[0])
 
-    def fit(self, rows: list[tuple[int, list[bytes]]]) -> None:
+    def fit(self, rows: list[tuple[int, str]]) -> None:
         rng = np.random.Generator(np.random.PCG64(SEED))
-        label = np.array([x for x, _ in rows])
-        windows = [w for _, some in rows for w in some]
-        at = np.concatenate(([0], np.cumsum([len(x) for _, x in rows])))
-        cells, count = [], []
-        for i in range(0, len(windows), 4096):
-            part, n = Bags(*utf8(pa.array(windows[i : i + 4096], pa.large_binary()))).features()
-            cells.append(part)
-            count.append(n)
-        del windows
+        cells, count, number = [], [], []
+        for i in range(0, len(rows), 128):
+            bags = Bags(*utf8(pa.array([text for _, text in rows[i : i + 128]], pa.large_string())))
+            number.append(bags.number)
+            if bags.number.any():
+                part, n = bags.features()
+                cells.append(part)
+                count.append(n)
+        number = np.concatenate(number)
+        label = np.array([x for x, _ in rows])[number > 0]  # a text without words teaches nothing
+        if not len(label):
+            return
+        at = np.concatenate(([0], np.cumsum(number[number > 0])))
         cells, count = np.concatenate(cells), np.concatenate(count)
         begin = np.cumsum(count) - count
         sums = [np.zeros_like(x) for x in (self.embedding, self.weight, self.bias)]
@@ -144,7 +138,7 @@ class Model:
                     some = rng.choice(own, min(len(own), 8 if mark else 4), replace=False)
                 else:
                     order = own[np.argsort(-odds[own], kind="stable")]
-                    some = order[: 1 if len(own) < 32 else 2] if mark else np.concatenate((order[:1], rng.choice(own, 1)))
+                    some = order[:1] if mark else np.concatenate((order[:1], rng.choice(own, 1)))
                 picked.append(some)
                 marks.append(np.full(len(some), mark))
             picked, marks = np.concatenate(picked), np.concatenate(marks)
@@ -184,7 +178,7 @@ class Model:
             value -= RATE * g / (np.sqrt(total) + 1e-8)
 
 
-def learn(rows: list[tuple[int, list[bytes]]]) -> tuple[np.ndarray, float] | None:
+def learn(rows: list[tuple[int, str]]) -> tuple[np.ndarray, float] | None:
     """The folded model; None unless there are rows of both labels."""
     if len({label for label, _ in rows}) < 2:
         return None
