@@ -11,26 +11,32 @@ positions are sampled at each run's start and every SAMPLE-th place. All windows
 occurrences are located by stepping back to a sampled position, and spans are merged. Shards need no shuffle, and
 a lost task rebuilds its own.
 
-The items are sent to every task if they have at most ITEM_BYTES of text; more are dealt to blocks of about that
-size by the hash of their id, and the documents are scanned once for each block, merging what was found before.
-Null text has no words. Items without an id are passed over; items of one id count once. Every row of the
-documents, repeated or not, gets its own result.
+The items are written to the shared folder in blocks of about ITEM_BYTES of text, dealt by the hash of their text, and
+tasks read them there: neither the driver nor the plan holds any. The documents are scanned once; a task searches each
+of its shards for the windows of one block after the other and keeps the last block that it read. Of a block's windows
+only those whose words the shard has are searched for.
+Null text has no words. Items without an id hit, but are not named; items of one id count once. Every row of the
+documents, repeated or not, gets its own result. Columns of the documents named __text, __words, __hits, __bytes or
+__items are replaced, or go.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, over_arrow, slices
+from .common import documents, over_arrow, plus, shared_dir, slices
 from .textbytes import ALNUM, FOLD, utf8, word_hashes, word_spans
 
 WINDOW, SAMPLE = 10, 16
-SHARD_BYTES, ITEM_BYTES = 1 << 20, 16 << 20
+#: Bytes of text in a shard where there is one block of items, and where there are more; bytes of items in a block.
+SHARD_BYTES, LONG_SHARD_BYTES, ITEM_BYTES = 1 << 20, 4 << 20, 16 << 20
 
 
 class FMIndex:
@@ -97,7 +103,7 @@ class FMIndex:
 class Windows:
     """The distinct windows of a block of items, as symbols, and which items have each."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
         data, offsets = utf8(pa.array([text for _, text in items], pa.large_string()))
         data = FOLD[data]
         start, end, first = word_spans(data, offsets, ALNUM)
@@ -107,7 +113,9 @@ class Windows:
         seen: dict[tuple[int, ...], dict[str, None]] = {}
         for (name, _), a, b in zip(items, first[:-1].tolist(), first[1:].tolist(), strict=True):
             for at in range(a, max(b - width + 1, min(a + 1, b))):
-                seen.setdefault(tuple(symbol[at : min(at + width, b)].tolist()), {})[name] = None
+                names = seen.setdefault(tuple(symbol[at : min(at + width, b)].tolist()), {})
+                if name is not None:
+                    names[name] = None
         self.length = np.array([len(x) for x in seen], np.int64)
         self.symbols = np.zeros((len(seen), width), np.int64)
         for row, x in enumerate(seen):
@@ -137,26 +145,41 @@ class Windows:
         within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         text[np.repeat(at, size) + within] = symbol[np.repeat(begin, size) + within]
         index = FMIndex(text, len(self.vocabulary))
-        low, high = index.search(self.symbols)
+        there = np.zeros(len(self.vocabulary) + 1, bool)
+        there[text] = True  # 0 is
+        likely = np.flatnonzero(there[self.symbols].all(axis=1))
+        low, high = index.search(self.symbols[likely])
         count = high - low
-        window = np.repeat(np.arange(len(count)), count)
+        window = np.repeat(likely, count)
         place = index.locate(np.repeat(low, count) + np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count))
         run = np.searchsorted(at, place, "right") - 1
         return begin[run] + place - at[run], window
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
     held, size = [], 0
     for batch in slices(batches, "__text"):
         held.append(batch)
         size += batch["__text"].nbytes
-        if size >= SHARD_BYTES:
+        if size >= limit:
             yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
 
+@lru_cache(maxsize=1)
+def _block(folder: str, block: int, width: int) -> Windows:
+    """The windows of a block of items, read from the shared folder."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    store, root = fs.FileSystem.from_uri(folder)
+    found = store.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True))
+    parts = [pq.read_table(x.path, columns=["name", "words"], filesystem=store, partitioning=None) for x in found if x.path.endswith(".parquet")]
+    return Windows([r for t in parts for r in zip(t["name"].to_pylist(), t["words"].to_pylist(), strict=True)], width)
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -168,31 +191,28 @@ def _without(text: str, spans: list[dict]) -> str:
     return b"".join([*kept, data[at:]]).decode()
 
 
-def _scanner(items: list[tuple[str, str]], width: int, cut: str | None):
-    """Adds to what was found before; with `cut`, the spans go from that column, as nothing is to follow."""
+def _scanner(folder: str, blocks: int, width: int, cut: str | None):
+    """Adds what the blocks of items have in the texts; with `cut`, the spans go from that column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(items, width)
-        for shard in _shards(batches):
+        for shard in _shards(batches, SHARD_BYTES if blocks == 1 else LONG_SHARD_BYTES):
             data, offsets = utf8(shard["__text"])
             data = FOLD[data]
             start, end, first = word_spans(data, offsets, ALNUM)
-            word, window = windows.find(word_hashes(data, start, end), first)
-            doc = np.searchsorted(first, word, "right") - 1
+            hashes = word_hashes(data, start, end)
             edge = np.zeros(len(start) + 1, np.int64)
-            np.add.at(edge, word, 1)
-            np.add.at(edge, word + windows.length[window], -1)
-            old_hits, old_items = shard["__hits"].to_pylist(), shard["__items"].to_pylist()
-            for row, spans in enumerate(old_hits):
-                for x in spans or ():
-                    edge[first[row] + x["start"]] += 1
-                    edge[first[row] + x["end"]] -= 1
+            names: list[set[str]] = [set() for _ in range(len(first) - 1)]
+            for block in range(blocks):
+                windows = _block(folder, block, width)
+                word, window = windows.find(hashes, first)
+                np.add.at(edge, word, 1)
+                np.add.at(edge, word + windows.length[window], -1)
+                doc = np.searchsorted(first, word, "right") - 1
+                both = np.unique(doc * max(1, len(windows.length)) + window)
+                for row, w in zip(*(x.tolist() for x in np.divmod(both, max(1, len(windows.length)))), strict=True):
+                    names[row].update(windows.names[w])
             hit = np.cumsum(edge[:-1]) > 0
-            both = np.unique(doc * max(1, len(windows.length)) + window)
-            names: list[set[str]] = [set(x or ()) for x in old_items]
-            for row, w in zip(*(x.tolist() for x in np.divmod(both, max(1, len(windows.length)))), strict=True):
-                names[row].update(windows.names[w])
-            hits: list[list[dict]] = [[] for _ in range(len(first) - 1)]
+            hits: list[list[dict]] = [[] for _ in names]
             last = np.zeros(len(start) + 1, bool)
             last[first] = True
             begin = np.flatnonzero(hit & ~(np.concatenate(([False], hit[:-1])) & ~last[:-1])) if len(hit) else np.zeros(0, np.int64)
@@ -205,22 +225,26 @@ def _scanner(items: list[tuple[str, str]], width: int, cut: str | None):
             found = {"__words": pa.array(np.diff(first)), "__hits": pa.array(hits, _SPANS), "__bytes": pa.array(bytes_, _SPANS), "__items": pa.array([sorted(x) for x in names], pa.list_(pa.string()))}
             if cut:
                 found[cut] = pa.array([_without(t, x) if x else t for t, x in zip(shard["__text"].to_pylist(), bytes_, strict=True)], pa.string())
-            yield from pa.table([found.get(n, shard[n]) for n in shard.column_names], names=shard.column_names).combine_chunks().to_batches()
+            whole = shard.drop_columns([cut] if cut else [])
+            order = [*shard.column_names, *_FOUND]
+            columns = dict(zip(whole.column_names, whole.columns, strict=True)) | found
+            yield from pa.table([columns[n] for n in order], names=order).combine_chunks().to_batches()
 
     return run
 
 
+_FOUND = ("__words", "__hits", "__bytes", "__items")
+
+
 def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, width: int, cut: bool) -> DataFrame:
-    kind = "array<struct<start:bigint,end:bigint>>"
-    df = docs.withColumns({"__text": F.col(text), "__words": F.lit(0).cast("long"), "__hits": F.lit(None).cast(kind), "__bytes": F.lit(None).cast(kind), "__items": F.lit(None).cast("array<string>")})
-    items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("words")).filter("name is not null and words is not null")
+    spark, kind = docs.sparkSession, "array<struct<start:bigint,end:bigint>>"
+    items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("words")).filter("words is not null")
     size = items.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0
     blocks = max(1, -(-size // ITEM_BYTES))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).collect()  # ITEM_BYTES or so
-        df = over_arrow(df, _scanner([(r["name"], r["words"]) for r in part], width, text if cut and block == blocks - 1 else None), schema)
-    return df.drop("__text")
+    folder = f"{shared_dir(spark)}/items-{uuid.uuid4().hex}"
+    items.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)).cast("int")).repartition(min(blocks, 1000), "block").write.partitionBy("block").parquet(folder)
+    df, schema = plus(docs.drop("__text").withColumn("__text", F.col(text)), f"__words bigint, __hits {kind}, __bytes {kind}, __items array<string>", *_FOUND)
+    return over_arrow(df, _scanner(folder, blocks, width, text if cut else None), schema).drop("__text")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
@@ -251,13 +275,13 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
 _WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP3_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(text="text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(text="text")} AS w FROM benchmark WHERE text IS NOT NULL),
 g AS (SELECT DISTINCT item, list_slice(w, i, i + {WINDOW - 1}) AS g FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - {WINDOW - 2}))) AS i FROM b WHERE len(w) > 0)),
 n AS (SELECT DISTINCT len(g) AS n FROM g),
 p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN n),
 h AS (SELECT doc_id, i, n, item FROM (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS g FROM p) JOIN g USING (g)),
 x AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM h) GROUP BY doc_id),
-y AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+y AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
 """

@@ -168,14 +168,15 @@ def brute_hits(values, items, width=10):
     for name, t in items:
         w = pattern.findall((t or "").translate(LOW))
         for k in range(max(1, len(w) - width + 1) if w else 0):
+            names = window.setdefault(tuple(w[k : k + width]), set())
             if name is not None:
-                window.setdefault(tuple(w[k : k + width]), set()).add(str(name))
+                names.add(str(name))
     out = []
     for t in values:
         w, hit, names = pattern.findall((t or "").translate(LOW)), set(), set()
         for n in {len(x) for x in window}:
             for k in range(len(w) - n + 1):
-                if found := window.get(tuple(w[k : k + n])):
+                if (found := window.get(tuple(w[k : k + n]))) is not None:
                     names |= found
                     hit.update(range(k, k + n))
         out.append((len(w), hit, sorted(names)))
@@ -189,6 +190,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, block):
     items = [(1, " ".join(long[500:530])), (1, " ".join(long[510:545])), (2, values[6].upper()), (3, "one"), (4, None), (5, ""), (6, "?!"), (None, "ein wort"), (7, " ".join(long[39990:])), (8, values[9]), (9, "in in in in in in in in in in in in")]
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", block)
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 20000)
+    monkeypatch.setattr(decontaminate, "LONG_SHARD_BYTES", 20000)
     docs, bench = frame(spark, values), spark.createDataFrame(items, "item_id long, text string")
     found = by_id(decontaminate.contamination(docs, bench))
     cut = by_id(decontaminate.decontaminate(docs, bench))

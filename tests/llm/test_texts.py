@@ -193,7 +193,7 @@ def test_toxicity_finds_misspelt_words_in_long_texts(spark):
     values = [words(rng, rng.randint(10, 200)) for _ in range(300)]
     marks = [int(i % 3 == 0) for i in range(300)]
     values = [spoil(t, 2) if m else t for t, m in zip(values, marks)]
-    labels = spark.createDataFrame([*enumerate(marks), (5, None), (None, 1), (999, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([*enumerate(marks), (5, None), (None, 1), (999, 1), (7, 5), (8, -1)], "doc_id long, toxic int")
     model = toxicity.learn(toxicity.sample(frame(spark, values), labels))
     tests = [words(rng, 3000) + " wretchedfoools " + words(rng, 3000), words(rng, 300), None, "", "...", "vilethings"]
     found = [r["score"] for r in toxicity.score(frame(spark, tests), model).orderBy("doc_id").collect()]
@@ -213,6 +213,15 @@ def test_line_dedup_by_site(spark):
     assert line_dedup.drop_boilerplate(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("pages", [5, 20, 50])
+def test_line_dedup_of_small_sites(spark, pages):
+    """Boilerplate of a site of a few pages goes; what a page and its copy share stays, where the ratio or the floor lets it."""
+    rows = [(i, f"home menu\nown line {i}\n  home menu", "small") for i in range(pages)] + [(1000 + i, "two\nthe same", "copies") for i in range(2)]
+    found = by_id(line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert {found[i]["text"] for i in range(pages)} == {f"own line {i}" for i in range(pages)}
+    assert found[1000]["text"] == found[1001]["text"] == "two\nthe same"
+
+
 @pytest.mark.parametrize("rows", [line_dedup.BROADCAST_ROWS, 0])
 def test_line_dedup_equals_sql(spark, tmp_path, monkeypatch, rows):
     duckdb = pytest.importorskip("duckdb")
