@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -87,6 +88,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are done, as it does once the driver's JVM has collected what refers to them.
+
+    Executors' disks would otherwise hold every step's files until the driver's memory fills, which is late for a driver that does little."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no model may learn from: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, over_arrow, slices, staged
+from .common import documents, free, over_arrow, slices, staged
 from .textbytes import BASE, BYTE_VALUES, U64, Rolling, mix, several, utf8
 
 WINDOW, GRAM = 100, 32
@@ -233,33 +233,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "n_bytes", "kept", "spans"])
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
-    """The rows with their tags; 0 where the id is that of no other row."""
+def _tagged(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows with their tags, 0 where the id is that of no other row; and whether any id repeats."""
     repeated = staged(docs.groupBy(F.col("doc_id").alias("again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit(True).alias("is"), "again"), "repeated")
     number = repeated.count()
     if not number:
-        return docs.withColumn("tag", F.lit(0).cast("long"))
+        return docs.withColumn("tag", F.lit(0).cast("long")), False
     met = docs.join(F.broadcast(repeated) if number <= BROADCAST_IDS else repeated, F.col("doc_id").eqNullSafe(F.col("again")), "left")
     tag = F.coalesce(F.crc32("text"), F.lit(0)).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
-    return met.select("doc_id", "text", F.when(F.col("is"), tag).otherwise(0).cast("long").alias("tag"))
+    return met.select("doc_id", "text", F.when(F.col("is"), tag).otherwise(0).cast("long").alias("tag")), True
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, kept (the bytes that stay) and spans (start and end of each maximal removed run). Other columns go."""
-    docs = _tagged(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    docs, tagged = _tagged(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = "doc long, lo long, n int, open boolean"
     blocks = max(partitions, -(-size // BLOCK_BYTES))
     parsed = over_arrow(docs, _dealer(_parse, blocks), _DEALT).groupBy("block").applyInArrow(_dictionary, out)
     parsed = staged(parsed, "phrases")
+    free(df.sparkSession)
 
-    same = (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("doc")) & (F.col("tag") == F.col("of_tag"))
-    of_text = ["doc", F.shiftright("lo", TAG_SHIFT).alias("of_tag")]
+    same, of_text = F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("doc"), ["doc"]
+    if tagged:
+        same, of_text = same & (F.col("tag") == F.col("of_tag")), ["doc", F.shiftright("lo", TAG_SHIFT).alias("of_tag")]
     still = parsed.filter("open").groupBy(*of_text).agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
     with_open = docs.join(still, same).select("doc_id", "tag", "text", "spans")
     blocks = max(partitions, -(-(parsed.filter("open").agg(F.sum("n")).first()[0] or 0) * 34 // BLOCK_BYTES))
     sorted_out = staged(over_arrow(with_open, _dealer(_cut_suffixes, blocks), _DEALT).groupBy("block").applyInArrow(_suffixes, out), "suffixes")
+    free(df.sparkSession)
 
     repeats = parsed.filter("not open").unionByName(sorted_out).groupBy(*of_text).agg(F.collect_list(F.struct("lo", "n")).alias("starts"))
     return over_arrow(docs.join(repeats, same, "left").select("doc_id", "text", "starts"), _cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
