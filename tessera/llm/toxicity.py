@@ -30,7 +30,7 @@ from .textbytes import ALNUM, FOLD, U64, Rolling, utf8, word_spans
 
 WORDS, GRAMS, CELL_BITS, SIZE = 8, (3, 4, 5), 17, 8
 CELLS = 1 << CELL_BITS
-MARKED, CLEAN, SAMPLE_BYTES, ROW_BYTES = 2000, 3000, 16 << 20, 1 << 16
+MARKED, CLEAN, SAMPLE_BYTES, ROW_BYTES = 2000, 3000, 8 << 20, 1 << 16
 ROUNDS, BATCH, RATE, SEED = 8, 64, 0.2, 7
 THRESHOLD = 0.7
 
@@ -125,7 +125,11 @@ class Model:
         if not len(label):
             return
         at = np.concatenate(([0], np.cumsum(number[number > 0])))
-        cells, count = np.concatenate(cells), np.concatenate(count)
+        count, parts = np.concatenate(count), cells[::-1]
+        cells, filled = np.empty(int(count.sum()), np.int32), 0
+        while parts:  # each part goes as it is copied, so the driver never holds them all twice
+            cells[filled : filled + len(parts[-1])] = parts[-1]
+            filled += len(parts.pop())
         begin = np.cumsum(count) - count
         sums = [np.zeros_like(x) for x in (self.embedding, self.weight, self.bias)]
         for turn in range(ROUNDS):
