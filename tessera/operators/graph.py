@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,7 +22,7 @@ def fam(pedigree: DataFrame, family: str, child: str, father: str, mother: str,
     return pedigree.select(F.lit(family).alias("fid"), F.col(child).cast("string").alias("iid"), text(father).alias("pid"), text(mother).alias("mid"), code.alias("sex"), F.lit(-9).alias("phenotype"))
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder, or where none is set (local tests) to one of our own: the next round begins there."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
@@ -35,15 +35,15 @@ def generations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A round for each generation, however many there are: a child is named when all its parents are. What is left waits
     in the checkpoint folder for the next round; the rounds end when no node is named."""
-    edges = _written(edges.select("child", "parent").distinct())
-    nodes = _written(nodes.select("node").distinct())
+    edges = written(edges.select("child", "parent").distinct())
+    nodes = written(nodes.select("node").distinct())
     left = edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("open"))
-    last = _written(nodes.join(left, "node", "left_anti"))
+    last = written(nodes.join(left, "node", "left_anti"))
     named = []
     while not last.isEmpty():
         named.append(last.withColumn("generation", F.lit(len(named) + 1)))
         done = edges.join(last.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("done"))
-        met = _written(left.join(done, "node", "left").select("node", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open")))
+        met = written(left.join(done, "node", "left").select("node", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open")))
         left, last = met.filter("open > 0"), met.filter("open = 0").select("node")
     if not named:
         return nodes.withColumn("generation", F.lit(None).cast("int"))
@@ -52,11 +52,11 @@ def generations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def on_cycles(edges: DataFrame) -> DataFrame:
     """The nodes on or behind a directed cycle and before another: those that stay when nodes without parents, or without children, are peeled off until none is left to peel."""
-    left = _written(edges.select("child", "parent").distinct())
+    left = written(edges.select("child", "parent").distinct())
     n = left.count()
     while True:
         inner = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent")
-        left, before = _written(inner), n
+        left, before = written(inner), n
         n = left.count()
         if n == before:
             break
@@ -67,3 +67,56 @@ def unknown_parents(pedigree: DataFrame, child: str, parents: list[str]) -> Data
     """Edges to a parent that is no one's row."""
     edges = parent_edges(pedigree, child, parents)
     return edges.join(pedigree.select(F.col(child).alias("parent")), "parent", "left_anti")
+
+
+def _closed(edges: DataFrame) -> DataFrame:
+    """The nodes of a small graph that reach themselves: its paths, joined with themselves until there are no more."""
+    paths = written(edges.select("child", "parent").distinct())
+    n = paths.count()
+    while True:
+        longer = paths.alias("a").join(paths.alias("b"), F.col("a.parent") == F.col("b.child")).select("a.child", "b.parent")
+        paths, before = written(paths.union(longer).distinct()), n
+        n = paths.count()
+        if n == before:
+            return paths.filter("child = parent").select(F.col("child").alias("node"))
+
+
+def _parts(edges: DataFrame) -> DataFrame:
+    """(node, part): the least node that each is joined to, in either direction, of a small graph."""
+    both = written(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(edges.select("parent", "child")).distinct())
+    label = written(both.select(F.col("a").alias("node"), F.col("a").alias("part")).distinct())
+    while True:
+        near = both.join(label, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("part").alias("near"))
+        new = written(label.join(near, "node").select("node", F.least("part", "near").alias("part"), (F.col("near") < F.col("part")).alias("moved")))
+        label = new.select("node", "part")
+        if new.filter("moved").isEmpty():
+            return label
+
+
+def resolve_cycles(pedigree: DataFrame, child: str, parents: list[str], score: str) -> DataFrame:
+    """The pedigree without cycles: time and again, of the nodes on a cycle that have parents and children, the one with most children, then the lowest score, then the least, loses its parents.
+
+    Nodes on no cycle, and before or behind none, are peeled off first, so what is left to search is as small as the errors
+    are few; parts of it that don't touch are cut side by side. A missing score is 0."""
+    now = written(pedigree)
+    while True:
+        edges = written(parent_edges(now, child, parents).select("child", "parent").distinct())
+        loops = edges.filter("child = parent")
+        core = on_cycles(edges)
+        inner = written(edges.join(core.withColumnRenamed("node", "child"), "child", "left_semi").join(core.withColumnRenamed("node", "parent"), "parent", "left_semi").unionByName(loops).distinct())
+        if inner.isEmpty():
+            return now
+        children = edges.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
+        cut = _closed(inner).join(_parts(inner), "node").join(children, "node")
+        cut = cut.join(now.select(F.col(child).alias("node"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score")), "node")
+        first = Window.partitionBy("part").orderBy(F.desc("children"), "score", "node")
+        cut = written(cut.withColumn("row", F.row_number().over(first)).filter("row = 1").select(F.col("node").alias("__cut")))
+        joined = now.join(cut, F.col(child) == F.col("__cut"), "left")
+        now = written(joined.withColumns({p: F.when(F.col("__cut").isNull(), F.col(p)) for p in parents}).drop("__cut"))
+
+
+def unsupported(pedigree: DataFrame, child: str, parents: list[str], support: DataFrame, share: str, least: float = 0.9) -> DataFrame:
+    """The pedigree, where a child whose `share` in `support` (child, share) is below `least` has no parents; one without a row keeps them."""
+    met = pedigree.join(support.select(F.col(child), F.col(share).alias("__share")), child, "left")
+    lost = F.coalesce(F.col("__share") < least, F.lit(False))
+    return met.withColumns({p: F.when(~lost, F.col(p)) for p in parents}).drop("__share")

@@ -2,7 +2,8 @@
 
 A containment join buckets the coordinate: a segment goes to each bucket that it touches and a point to its own, so the
 join is an equi-join on (keys, bucket) whatever the number of segments, and Spark's adaptive execution splits a hot key.
-As-of and nearest joins sort both sides together in a window of the keys and carry the last or next row over.
+As-of and nearest joins sort both sides together in a window of the keys, or of ranges of the coordinate within them, and
+carry the last or next row over.
 """
 
 from __future__ import annotations
@@ -27,23 +28,35 @@ def containing(points: DataFrame, segments: DataFrame, keys: list[str], at: str,
     return p.join(s, match, how).select(*[F.col(f"p.{c}") for c in points.columns], *rest)
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: str, values: list[str], forward: bool = False) -> DataFrame:
-    """Each left row with the values of the right row last at or before it (or first at or after it); equal places count. Nulls if there is none."""
+def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: str, values: list[str], forward: bool = False, width: float | None = None) -> DataFrame:
+    """Each left row with the values of the right row last at or before it (or first at or after it); equal places count. Nulls if there is none.
+
+    With a `width` a key's rows are windows of that range of the coordinate, each led by the last right row of those before
+    it: so a hot key is as many tasks as it has ranges, and only a row a range is carried on. Right places must be distinct within the keys."""
     row = F.struct(F.col(other).alias("__at"), *values)
     one = left.select(*keys, F.col(at).alias("__x"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType).alias("__right"))
     two = right.select(*keys, F.col(other).alias("__x"), F.lit(None).cast(one.schema["__left"].dataType).alias("__left"), row.alias("__right"))
+    both, part = one.unionByName(two), list(keys)
+    if width:
+        both, part = both.withColumn("__range", F.floor(F.col("__x") / width)), [*keys, "__range"]
+        pick = F.min_by if forward else F.max_by
+        edge = both.groupBy(*part).agg(pick("__right", F.when(F.col("__right").isNotNull(), F.col("__x"))).alias("__right"))
+        along = Window.partitionBy(*keys).orderBy(F.col("__range").desc() if forward else F.col("__range")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = edge.select(*part, F.last("__right", ignorenulls=True).over(along).alias("__right")).filter("__right is not null")
+        lead = carried.select(*keys, F.col("__right.__at").alias("__x"), F.lit(None).cast(one.schema["__left"].dataType).alias("__left"), "__right", "__range")
+        both = both.unionByName(lead)
     order = [F.col("__x").desc() if forward else F.col("__x"), F.col("__right").isNull()]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = one.unionByName(two).withColumn("__met", F.last("__right", ignorenulls=True).over(w)).filter("__left is not null")
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("__met", F.last("__right", ignorenulls=True).over(w)).filter("__left is not null")
     return met.select("__left.*", F.col("__met.__at").alias(other), *[F.col(f"__met.{v}").alias(v) for v in values])
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: str, values: list[str]) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: str, values: list[str], width: float | None = None) -> DataFrame:
     """Each left row with the nearest right row; of two equally far the one after."""
     names = [other, *values]
-    before = asof(left, right, keys, at, other, values)
+    before = asof(left, right, keys, at, other, values, width=width)
     before = before.select(*left.columns, F.struct(*names).alias("__before"))
-    both = asof(before, right, keys, at, other, values, forward=True)
+    both = asof(before, right, keys, at, other, values, forward=True, width=width)
     after = F.struct(*names)
     gap = lambda s: F.abs(s[other] - F.col(at))
     pick = F.when(F.col(other).isNull(), F.col("__before")).when(F.col(f"__before.{other}").isNull(), after).when(gap(after) <= gap(F.col("__before")), after).otherwise(F.col("__before"))

@@ -12,10 +12,21 @@ def sliding(df: DataFrame, at: str, size: int, shift: int, out: str = "block_id"
     return df.withColumn(out, F.explode(F.sequence(first, F.floor(F.col(at) / shift))))
 
 
-def counted(df: DataFrame, keys: list[str], order: list[str], size: int, shift: int, out: str = "block_id") -> DataFrame:
-    """Windows of `size` consecutive rows, every `shift` rows; the last ones may be partial."""
-    place = df.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    return sliding(place, "__place", size, shift, out).drop("__place")
+def counted(df: DataFrame, keys: list[str], order: list[str], size: int, shift: int, out: str = "block_id", width: float | None = None) -> DataFrame:
+    """Windows of `size` consecutive rows, every `shift` rows; the last ones may be partial.
+
+    With a `width` rows are numbered within ranges of the first order column, and the counts of the ranges before are added:
+    so a key of very many rows is as many tasks as it has ranges."""
+    if not width:
+        place = df.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+        return sliding(place, "__place", size, shift, out).drop("__place")
+    ranged = df.withColumn("__range", F.floor(F.col(order[0]) / width))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    count = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    count = count.select(*keys, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = ranged.withColumn("__own", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order)) - 1)
+    place = own.join(count, [*keys, "__range"]).withColumn("__place", F.col("__own") + F.col("__before"))
+    return sliding(place, "__place", size, shift, out).drop("__place", "__range", "__own", "__before")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

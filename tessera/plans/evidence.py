@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import genotype, maths
-from ..operators import discovery, windows
+from ..operators import discovery, pairs, windows
 from ..sources.variants import keep_flags
+from .paths import FOUNDERS, cells, founder_alleles
 from .registry import query
 from .tables import READS, marks, reads, table
 
@@ -162,25 +163,15 @@ def q_block_discovery(spark, sf_dir):
     return discovery.discover(p, "label", "int", "sample", "site")
 
 
-_HAPS = """b AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS site, unnest(embedding)::DOUBLE AS x FROM embeddings),
-p AS (SELECT label, vec_id AS sample, site, (1-q)*(1-q) AS p0, 2*q*(1-q) AS p1, q*q AS p2 FROM (SELECT *, 1 / (1 + exp(-8 * x)) AS q FROM b)),
-r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS hap FROM embeddings),
-h AS (SELECT b.label, hap, site, CASE WHEN x > 0 THEN 1 ELSE 0 END AS allele FROM b JOIN r USING (label, vec_id) WHERE hap < 3)"""
-
-
-@query(f"""WITH {_HAPS}, q AS (SELECT u.label, u.hap AS h1, v.hap AS h2, u.site, u.allele + v.allele AS g FROM h u JOIN h v ON u.label = v.label AND u.site = v.site AND u.hap <= v.hap),
-t AS (SELECT p.label, sample, h1, h2, sum(ln(greatest(CASE g WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 1e-10))) AS ll, avg(1 - CASE g WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END) AS residual
-FROM p JOIN q USING (label, site) GROUP BY p.label, sample, h1, h2)
+@query(f"""WITH {FOUNDERS}, q AS (SELECT u.label, u.hap AS h1, v.hap AS h2, u.site, u.allele + v.allele AS g FROM founders u JOIN founders v ON u.label = v.label AND u.site = v.site AND u.hap <= v.hap),
+t AS (SELECT p.label, vec_id AS sample, h1, h2, sum(ln(greatest(CASE g WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 1e-10))) AS ll, avg(1 - CASE g WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END) AS residual
+FROM posts p JOIN q USING (label, site) GROUP BY p.label, vec_id, h1, h2)
 SELECT label, sample, h1, h2, round(ll, 5) AS log_likelihood, round(residual, 7) AS residual FROM t QUALIFY row_number() OVER (PARTITION BY label, sample ORDER BY ll DESC, h1, h2) = 1""")
 def q_best_pair_paint(spark, sf_dir):
-    """The pair of haplotypes that explains each sample best, and its residual."""
-    bits = _bits(spark, sf_dir)
-    x = 1 / (1 + F.exp(-8 * F.col("x").cast("double")))
-    p = bits.select("label", F.col("vec_id").alias("sample"), "site", ((1 - x) * (1 - x)).alias("p0"), (2 * x * (1 - x)).alias("p1"), (x * x).alias("p2"))
-    ranked = table(spark, sf_dir, "embeddings").select("label", "vec_id", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("hap")).filter("hap < 3")
-    haps = bits.join(F.broadcast(ranked), ["label", "vec_id"]).select("label", "hap", "site", (F.col("x") > 0).cast("int").alias("allele"))
-    found = discovery.best_pairs(p, haps, "label", "sample", "site")
-    return found.select("label", "sample", F.col("h1").cast("long").alias("h1"), F.col("h2").cast("long").alias("h2"), F.round("log_likelihood", 5).alias("log_likelihood"), F.round("residual", 7).alias("residual"))
+    """The pair of its label's founders that explains each vector best, and its residual."""
+    p = cells(spark, sf_dir).select("label", F.col("vec_id").alias("sample"), "site", "p0", "p1", "p2")
+    found = discovery.best_pairs(p, founder_alleles(spark, sf_dir), "label", "sample", "site")
+    return found.select("label", "sample", "h1", "h2", F.round("log_likelihood", 5).alias("log_likelihood"), F.round("residual", 7).alias("residual"))
 
 
 @query("""WITH b AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS site, unnest(embedding)::DOUBLE AS x FROM embeddings), k AS (SELECT * FROM b WHERE abs(x) > 0.05)
@@ -188,19 +179,29 @@ SELECT u.vec_id AS a, v.vec_id AS b, count(*) AS known, sum(CASE WHEN (u.x > 0)
 FROM k u JOIN k v ON u.label = v.label AND u.site = v.site AND u.vec_id < v.vec_id GROUP BY u.vec_id, v.vec_id HAVING count(*) >= 35""")
 def q_missing_hamming(spark, sf_dir):
     """Differing signs of two vectors of a label where both are clear."""
-    k = _bits(spark, sf_dir).withColumn("x", F.col("x").cast("double")).withColumns({"place": F.struct("label", "site"), "allele": F.when(F.abs("x") > 0.05, (F.col("x") > 0).cast("int"))})
-    return discovery.missing_aware_hamming(k, "vec_id", "place", "allele", 35).select("a", "b", "known", "differ")
+    sign = lambda x: F.when(F.abs(x.cast("double")) > 0.05, (x > 0).cast("double"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", sign).alias("signs"))
+
+    def compare(x, y):
+        known, differ = pairs.signs_apart(x, y)
+        return {"known": known, "differ": differ, "kept": known >= 35}
 
+    return pairs.blocked(v, ["label"], "vec_id", "signs", compare, "known long, differ long")
 
-@query("""WITH b AS (SELECT vec_id, embedding, label FROM embeddings), w AS (SELECT vec_id, label, list_sum([CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END for i in range(1, 33)])::BIGINT AS bits FROM b)
-SELECT u.vec_id AS a, v.vec_id AS b, bit_count(xor(u.bits, v.bits))::INT AS hamming FROM w u JOIN w v ON u.label = v.label AND u.vec_id < v.vec_id WHERE bit_count(xor(u.bits, v.bits)) <= 8""")
+
+@query("""WITH s AS (SELECT vec_id, label, list_sum([CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END for i in range(1, 33)])::BIGINT AS low, list_sum([CASE WHEN embedding[i + 32] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END for i in range(1, 33)])::BIGINT AS high FROM embeddings),
+p AS (SELECT u.vec_id AS a, v.vec_id AS b, (bit_count(xor(u.low, v.low)) + bit_count(xor(u.high, v.high)))::INT AS hamming FROM s u JOIN s v ON u.label = v.label AND u.vec_id < v.vec_id) SELECT * FROM p WHERE hamming <= 20""")
 def q_hamming_bits(spark, sf_dir):
-    """Pairs of a label whose first 32 signs, packed into a word, differ in at most 8."""
-    bit = F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.get("embedding", i) > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long"))
-    w = table(spark, sf_dir, "embeddings").select("vec_id", "label", bit.alias("bits"))
-    u, v = w.select("label", F.col("vec_id").alias("a"), F.col("bits").alias("x")), w.select("label", F.col("vec_id").alias("b"), F.col("bits").alias("y"))
-    far = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int")
-    return u.join(v, "label").filter("a < b").select("a", "b", far.alias("hamming")).filter("hamming <= 8")
+    """Pairs of a label whose signs, packed into words of 32, differ in at most 20 places."""
+    one = lambda w, i: F.when(F.get("embedding", 32 * w + i) > 0, F.expr("1L")).otherwise(F.expr("0L"))
+    word = lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, i: s + one(w, i) * F.pow(F.lit(2.0), i).cast("long"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.array(word(0), word(1)).alias("words"))
+
+    def compare(x, y):
+        far = sum(np.bitwise_count(x[:, None, k].astype(np.uint64) ^ y[None, :, k].astype(np.uint64)).astype(np.int32) for k in range(x.shape[1]))
+        return {"hamming": far, "kept": far <= 20}
+
+    return pairs.blocked(v, ["label"], "vec_id", "words", compare, "hamming int")
 
 
 @query(f"""WITH marks AS (SELECT event_type, CAST(epoch_us(ts) // 1000000 AS BIGINT) - 1704067200 AS pos FROM events), h AS (SELECT event_type, pos // 21600 AS bin, count(*) AS n FROM marks GROUP BY ALL)

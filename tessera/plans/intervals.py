@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, sequences, windows
+from ..operators import joins, windows
 from .registry import query
 from .tables import MARKS, SEGMENTS, marks, segments, seconds, table
 
@@ -24,7 +24,7 @@ def q_block_windows(spark, sf_dir):
 SELECT event_type, block_id, count(*) AS n, min(pos) AS first_pos, max(pos) + 1 AS end_pos FROM w GROUP BY ALL""")
 def q_count_windows(spark, sf_dir):
     """Windows of 200 events of a type, every 100."""
-    w = windows.counted(marks(spark, sf_dir), ["event_type"], ["pos", "event_id"], 200, 100)
+    w = windows.counted(marks(spark, sf_dir), ["event_type"], ["pos", "event_id"], 200, 100, width=DAY)
     return w.groupBy("event_type", "block_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), (F.max("pos") + 1).alias("end_pos"))
 
 
@@ -67,7 +67,10 @@ CAST(floor(median("end" - "start")) AS BIGINT) AS middle, min("end" - "start") A
 def q_width_buckets(spark, sf_dir):
     w = F.col("end") - F.col("start")
     name = F.when(w < 600, "a").when(w < 7200, "b").when(w < DAY, "c").otherwise("d")
-    return segments(spark, sf_dir).groupBy(name.alias("width")).agg(F.count(F.lit(1)).alias("n"), F.floor(F.median(w)).alias("middle"), F.min(w).alias("least"), F.max(w).alias("most"), F.sum(w).alias("total"))
+    # segments of equal length are counted first, so a bucket's median is over its lengths and not its segments
+    lengths = segments(spark, sf_dir).groupBy(name.alias("width"), w.alias("length")).agg(F.count(F.lit(1)).alias("times"))
+    middle = F.floor(F.percentile("length", F.lit(0.5), F.col("times"))).alias("middle")
+    return lengths.groupBy("width").agg(F.sum("times").alias("n"), middle, F.min("length").alias("least"), F.max("length").alias("most"), F.sum(F.col("length") * F.col("times")).alias("total"))
 
 
 _CENTRES = "centres AS (SELECT user_id, unnest(range(1800, 2592000, 21600))::BIGINT AS centre FROM (SELECT DISTINCT user_id FROM marks))"
@@ -99,12 +102,12 @@ def q_interval_leftclip(spark, sf_dir):
     return joins.first_ending(_centres(spark, sf_dir), segments(spark, sf_dir), ["user_id"], "centre", "start", "end", ["owner"]).select("user_id", "centre", "owner")
 
 
-_DATED = """o AS (SELECT o_orderkey, o_custkey % 50 AS k, CAST(epoch_us(o_orderdate) // 86400000000 AS BIGINT) AS d FROM orders), s AS (SELECT l_suppkey % 50 AS k, CAST(epoch_us(l_shipdate) // 86400000000 AS BIGINT) AS d, count(*) AS n FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY ALL)"""
+_DATED = """o AS (SELECT o_orderkey, o_custkey % 50 AS k, CAST(epoch_us(o_orderdate) // 86400000000 AS BIGINT) AS d FROM orders), s AS (SELECT l_suppkey % 50 AS k, CAST(epoch_us(l_shipdate) // 86400000000 AS BIGINT) AS d, count(*) AS n FROM lineitem GROUP BY ALL)"""
 
 
 def _dated(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("k"), F.floor(seconds("o_orderdate") / DAY).alias("d"))
-    s = table(spark, sf_dir, "lineitem").filter("l_orderkey % 97 = 0").groupBy((F.col("l_suppkey") % 50).alias("k"), F.floor(seconds("l_shipdate") / DAY).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    s = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("k"), F.floor(seconds("l_shipdate") / DAY).alias("at")).agg(F.count(F.lit(1)).alias("n"))
     return o, s
 
 
@@ -112,13 +115,13 @@ def _dated(spark, sf_dir):
 def q_asof_forward(spark, sf_dir):
     """Each order with the first shipping day of its key at or after it."""
     o, s = _dated(spark, sf_dir)
-    return joins.asof(o, s, ["k"], "d", "at", ["n"], forward=True).select("o_orderkey", "d", "at", "n")
+    return joins.asof(o, s, ["k"], "d", "at", ["n"], forward=True, width=180).select("o_orderkey", "d", "at", "n")
 
 
 @query(f"WITH {_DATED} SELECT o_orderkey, o.d AS d, s.d AS at, n FROM o ASOF LEFT JOIN s ON o.k = s.k AND o.d >= s.d")
 def q_asof_backward(spark, sf_dir):
     o, s = _dated(spark, sf_dir)
-    return joins.asof(o, s, ["k"], "d", "at", ["n"]).select("o_orderkey", "d", "at", "n")
+    return joins.asof(o, s, ["k"], "d", "at", ["n"], width=180).select("o_orderkey", "d", "at", "n")
 
 
 @query(f"""WITH {_DATED}, j AS (SELECT o_orderkey, o.d AS d, s.d AS "at", n, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(s.d - o.d), s.d DESC) AS r FROM o LEFT JOIN s ON o.k = s.k)
@@ -126,7 +129,7 @@ SELECT o_orderkey, d, "at", n FROM j WHERE r = 1""")
 def q_nearest_site(spark, sf_dir):
     """Each order with the nearest shipping day of its key; of two, the later."""
     o, s = _dated(spark, sf_dir)
-    return joins.nearest(o, s, ["k"], "d", "at", ["n"]).select("o_orderkey", "d", "at", "n")
+    return joins.nearest(o, s, ["k"], "d", "at", ["n"], width=180).select("o_orderkey", "d", "at", "n")
 
 
 _PAIRED = f"""WITH {SEGMENTS}, a AS (SELECT user_id // 2 AS k, "start" AS s, "end" AS e, owner FROM segments WHERE user_id % 2 = 0), b AS (SELECT user_id // 2 AS k, "start" AS s, "end" AS e, owner FROM segments WHERE user_id % 2 = 1)"""
@@ -165,45 +168,3 @@ def q_decode_crossovers(spark, sf_dir):
     c = marks(spark, sf_dir).withColumn("state", windows.carried(F.when(F.col("event_type") != "error", F.col("event_type")), ["user_id"], ["pos", "event_id"]))
     d = c.withColumns({"before": F.lag("state").over(w), "since": F.lag("pos").over(w)}).filter("before <> state")
     return d.select("user_id", "event_id", "before", "state", ((F.col("since") + F.col("pos")) / 2.0).alias("midpoint"))
-
-
-def _emissions(spark, sf_dir):
-    """(user_id, i, e0, e1, t): chances of two states at each event, and of a switch on the way to it."""
-    w = Window.partitionBy("user_id").orderBy("pos", "event_id")
-    rows = marks(spark, sf_dir).withColumns({"i": F.row_number().over(w), "gap": F.col("pos") - F.lag("pos").over(w)})
-    good = F.when(F.col("event_type").isin("click", "view"), 0.8).otherwise(0.3)
-    return rows.select("user_id", "i", good.alias("e0"), (1 - good).alias("e1"), F.coalesce(0.5 * (1 - F.exp(-2e-5 * F.col("gap"))), F.lit(0.5)).alias("t"))
-
-
-_EMIT = f"""{MARKS}, m AS (SELECT user_id, row_number() OVER w AS i, pos - lag(pos) OVER w AS gap, CASE WHEN event_type IN ('click', 'view') THEN 0.8 ELSE 0.3 END AS g FROM marks WINDOW w AS (PARTITION BY user_id ORDER BY pos, event_id)),
-em AS (SELECT user_id, i, g::DOUBLE AS e0, 1 - g::DOUBLE AS e1, coalesce(0.5 * (1 - exp(-2e-5 * gap)), 0.5) AS t FROM m)"""
-
-
-@query(f"""WITH RECURSIVE {_EMIT}, f(user_id, i, a, b, log) AS (SELECT user_id, i, e0 / (e0 + e1), e1 / (e0 + e1), ln(0.5 * (e0 + e1)) FROM em WHERE i = 1
-UNION ALL SELECT f.user_id, em.i, x / (x + y), y / (x + y), log + ln(x + y) FROM (SELECT f.*, em.i AS j, (a * (1 - t) + b * t) * e0 AS x, (a * t + b * (1 - t)) * e1 AS y FROM f JOIN em ON em.user_id = f.user_id AND em.i = f.i + 1) f JOIN em ON em.user_id = f.user_id AND em.i = f.j)
-SELECT user_id, round(max_by(log, i), 6) AS log_likelihood FROM f GROUP BY user_id""")
-def q_forward_2state(spark, sf_dir):
-    """The forward likelihood of a user's events under two states."""
-    found = sequences.forward(_emissions(spark, sf_dir), ["user_id"], "i", ["e0", "e1"], "t")
-    return found.select("user_id", F.round("log_likelihood", 6).alias("log_likelihood"))
-
-
-@query(None)
-def q_forward_4state(spark, sf_dir):
-    """The forward likelihood under two strands of two states."""
-    rows = _emissions(spark, sf_dir).withColumns({f"s{k}": F.col(f"e{k >> 1}") * F.col(f"e{k & 1}") for k in range(4)})
-    return sequences.forward(rows, ["user_id"], "i", [f"s{k}" for k in range(4)], "t")
-
-
-@query(None)
-def q_viterbi_paint(spark, sf_dir):
-    """The best segmentation of a user's events into two states, a switch costing 3."""
-    rows = _emissions(spark, sf_dir).withColumns({"l0": F.ln("e0"), "l1": F.ln("e1")})
-    return sequences.paint(rows, {"user_id": "long"}, "i", ["l0", "l1"], 3.0)
-
-
-@query(None)
-def q_burst_score(spark, sf_dir):
-    """The score of a user's events where stretches may be left to a burst."""
-    rows = _emissions(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.ln("e0").alias("e")))), lambda x: x["e"]).alias("e"))
-    return rows.select("user_id", sequences.burst(F.col("e"), -3.0, -0.1, -0.7).alias("score"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import genotype
-from ..operators import graph, transitions
+from ..operators import graph, pairs, transitions
 from .registry import query
 from .tables import table
 
@@ -69,7 +69,7 @@ def q_pair_match_argmin(spark, sf_dir):
     m = e.groupBy("label", "site").agg(F.avg("x").alias("x"))
     u, v = m.select("site", F.col("label").alias("a"), F.col("x").alias("y")), m.select("site", F.col("label").alias("b"), F.col("x").alias("z"))
     q = u.join(v, "site").filter("a <= b").select("site", "a", "b", ((F.col("y") + F.col("z")) / 2).alias("mean"))
-    d = e.join(F.broadcast(q), "site").groupBy("vec_id", "a", "b").agg(F.sum(F.abs(F.col("x") - F.col("mean"))).alias("distance"))
+    d = e.join(q, "site").groupBy("vec_id", "a", "b").agg(F.sum(F.abs(F.col("x") - F.col("mean"))).alias("distance"))
     best = d.groupBy("vec_id").agg(F.min(F.struct("distance", "a", "b")).alias("r"))
     return best.select("vec_id", "r.a", "r.b", F.round("r.distance", 6).alias("distance"))
 
@@ -77,9 +77,9 @@ def q_pair_match_argmin(spark, sf_dir):
 @query(f"""WITH {_CELLS} SELECT u.vec_id AS a, v.vec_id AS b, round(avg(u.x * v.x), 7) AS gram FROM e u JOIN e v ON u.label = v.label AND u.site = v.site AND u.vec_id < v.vec_id GROUP BY u.vec_id, v.vec_id""")
 def q_gram_agreement(spark, sf_dir):
     """The mean product of two vectors of a label."""
-    e = _cells(spark, sf_dir)
-    u, v = e.select("label", "site", F.col("vec_id").alias("a"), F.col("x").alias("y")), e.select("label", "site", F.col("vec_id").alias("b"), F.col("x").alias("z"))
-    return u.join(v, ["label", "site"]).filter("a < b").groupBy("a", "b").agg(F.round(F.avg(F.col("y") * F.col("z")), 7).alias("gram"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    found = pairs.blocked(v, ["label"], "vec_id", "embedding", lambda x, y: {"gram": x @ y.T / x.shape[1]}, "gram double")
+    return found.withColumn("gram", F.round("gram", 7))
 
 
 @query("SELECT coalesce(CAST(quality AS VARCHAR), 'All') AS quality, coalesce(CAST(toxic AS VARCHAR), 'All') AS toxic, count(*) AS n FROM labels GROUP BY CUBE (quality, toxic)")
@@ -121,13 +121,13 @@ def q_fam(spark, sf_dir):
     return graph.fam(_pedigree(spark, sf_dir), "fam", "child", "father", "mother", "sex")
 
 
-@query(f"WITH {_PEDIGREE} SELECT child, father AS parent FROM ped WHERE father IS NOT NULL AND father NOT IN (SELECT child FROM ped WHERE child IS NOT NULL)")
+@query(f"WITH {_PEDIGREE} SELECT child, father * 11 AS parent FROM ped WHERE father IS NOT NULL AND father * 11 NOT IN (SELECT child FROM ped WHERE child IS NOT NULL)")
 def q_unknown_parents(spark, sf_dir):
-    """Fathers that are no order's key."""
-    return graph.unknown_parents(_pedigree(spark, sf_dir), "child", ["father"]).select("child", "parent")
+    """Fathers, their numbers spread out, that are no order's key."""
+    return graph.unknown_parents(_pedigree(spark, sf_dir).withColumn("father", F.col("father") * 11), "child", ["father"]).select("child", "parent")
 
 
-@query("""WITH RECURSIVE r AS (SELECT p_partkey AS node, 1 AS generation FROM part WHERE p_partkey = 0 UNION ALL SELECT p_partkey, generation + 1 FROM r JOIN part ON p_partkey // 3 = node AND p_partkey > 0 WHERE generation < 10) SELECT node, max(generation) AS generation FROM r GROUP BY node""")
+@query("""WITH RECURSIVE r AS (SELECT p_partkey AS node, 1 AS generation FROM part WHERE p_partkey = 0 UNION ALL SELECT p_partkey, generation + 1 FROM r JOIN part ON p_partkey // 3 = node AND p_partkey > 0) SELECT node, max(generation) AS generation FROM r GROUP BY node""")
 def q_generation_labels(spark, sf_dir):
     """The depth of each part in the tree where k's parent is k / 3."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))

@@ -1,4 +1,4 @@
-"""Stage tables: Parquet by stage and contig, with a marker once all contigs are there."""
+"""Tables between stages, and texts of values: the first that is there, CSV, canonical JSON."""
 
 from __future__ import annotations
 
@@ -9,38 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-class StageStore:
-    """Tables under one folder of any file system that Spark writes to; a table counts once Spark has committed it."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _exists(self, path: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def path(self, stage: str, contig: str) -> str:
-        return f"{self.root}/{stage}/contig={contig}"
-
-    def save(self, stage: str, contig: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self.path(stage, contig))
-
-    def done(self, stage: str, contig: str) -> bool:
-        return self._exists(f"{self.path(stage, contig)}/_SUCCESS")
-
-    def load(self, stage: str, *contigs: str) -> DataFrame:
-        """The tables of these contigs, with their names in `contig`; one that isn't there is an error."""
-        missing = [c for c in contigs if not self.done(stage, c)]
-        if missing:
-            raise FileNotFoundError(f"stage {stage}: no table of {', '.join(missing)}")
-        return self.spark.read.option("basePath", f"{self.root}/{stage}").parquet(*[self.path(stage, c) for c in contigs])
-
-    def first_of(self, stages: list[str], contig: str) -> DataFrame:
-        """The contig's table of the first stage that has one."""
-        for stage in stages:
-            if self.done(stage, contig):
-                return self.load(stage, contig)
-        raise FileNotFoundError(f"{contig}: none of {', '.join(stages)}")
+def first_existing(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """The table of the first folder that Spark has finished writing; an error if none is."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_SUCCESS")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.parquet(folder)
+    raise FileNotFoundError(f"none of {', '.join(folders)} is there")
 
 
 def canonical_json(value: object) -> str:
