@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -38,11 +40,35 @@ def over_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
-        pa.default_memory_pool().release_unused()  # the worker may wait for its next task for long
+        _settle()
 
     return df.mapInArrow(run, schema)
 
 
+def settled(function: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A function of groups that gives memory back after each."""
+
+    def done(out: pa.Table) -> pa.Table:
+        _settle()
+        return out
+
+    if function.__code__.co_argcount == 2:
+        return lambda key, table: done(function(key, table))
+    return lambda table: done(function(table))
+
+
+def _settle() -> None:
+    """Gives what the worker has freed back to the system: it may wait for its next task for long, beside others."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other libraries need not
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of about `limit` bytes of text at most; a longer text is a slice of its own."""
     for batch in batches:
@@ -91,9 +117,12 @@ def discard(*tables: DataFrame) -> None:
 def free(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps that are done, as it does once the driver's JVM has collected what refers to them.
 
-    Executors' disks would otherwise hold every step's files until the driver's memory fills, which is late for a driver that does little."""
-    gc.collect()
-    spark._jvm.System.gc()
+    Executors' disks would otherwise hold every step's files until the driver's memory fills, which is late for a driver that does little.
+    Python's side lets go of them in a thread of its own, once a second: hence the pause."""
+    for _ in range(2):  # what ends a query may itself hold it for a moment
+        gc.collect()
+        time.sleep(1.2)
+        spark._jvm.System.gc()
 
 
 def held_out(doc_id: str = "doc_id"):

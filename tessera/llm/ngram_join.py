@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, over_arrow, slices, staged
+from .common import discard, documents, over_arrow, settled, slices, staged
 from .components import components
 from .textbytes import FOLD, NOT_SPACE, U64, mix, several, shingles, utf8, word_hashes, word_spans
 
@@ -230,6 +230,7 @@ def _sign(blocks: int):
     return run
 
 
+@settled
 def _shared(key: tuple, table: pa.Table) -> pa.Table:
     """(sig, key) of the signatures in a block that more than one set has, and of those known to be shared."""
     rows = {True: [], False: []}
@@ -294,6 +295,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return (out.filter("c >= greatest(need_a, need_b)") if "c" in pairs.columns else out).select("a", "b")
 
 
+@settled
 def _blocks(group: pa.Table) -> pa.Table:
     """Links that tie parts together, among all pairs of one node from either side of a block: a spanning forest of them."""
     part = np.array(group["part"])

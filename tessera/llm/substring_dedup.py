@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, free, over_arrow, slices, staged
+from .common import documents, free, over_arrow, settled, slices, staged
 from .textbytes import BASE, BYTE_VALUES, U64, Rolling, mix, several, utf8
 
 WINDOW, GRAM = 100, 32
@@ -114,7 +114,7 @@ def _dealer(records: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]],
         block = (((mix(x["a"]) >> U64(32)) * U64(blocks)) >> U64(32)).astype(np.int64)
         block[again] = (x["doc"][again] + turn) % blocks
         kind = block * 2 + again
-        order = np.argsort(kind, kind="stable")
+        order = np.lexsort((x["lo"], x["doc"], kind))  # in the order of their places, which compresses well
         x, kind = x[order], kind[order]
         at = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1], [True])))
         pairs = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
@@ -171,6 +171,7 @@ def _behind(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, (first["doc"] != x["doc"]) | (first["lo"] != x["lo"])
 
 
+@settled
 def _dictionary(table: pa.Table) -> pa.Table:
     """Of a block's phrases: those behind an equal one (their starts are repeats), and the firsts that share a trigger with another phrase."""
     x, again = _gathered(table)
@@ -202,6 +203,7 @@ def _cut_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield _records(a=one, r=two, doc=ids[text], lo=tag[text] + start, n=np.ones(len(at)))
 
 
+@settled
 def _suffixes(table: pa.Table) -> pa.Table:
     """Of a block's sorted suffixes: those that stand behind an equal one, as runs of starts."""
     x, again = _gathered(table)
