@@ -65,7 +65,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: A trained model decides the first stage, which SQL can't express; tests compare run() with a brute-force version.
+#: A trained model decides the first stage, which SQL can't express; tests hold each stage against planted cases.
 ORACLE_SQL = None
 
 
