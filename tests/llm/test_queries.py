@@ -85,9 +85,9 @@ def test_op1_scores_follow_the_labels_that_it_may_learn_from(spark, tmp_path):
 
 def test_op3_and_op10_equal_their_sql(spark, folder):
     duckdb = pytest.importorskip("duckdb")
-    # for SQL, rows of one id are not one document, so the repeated ones stay out
+    # for SQL, rows of one id are not one document, and a long text's list of words goes with each of its windows: both stay out
     ids = Counter(i for i, _, _ in rows())
-    some = [i for i, n in ids.items() if n == 1 and i is not None]
+    some = [i for i, t, _ in rows() if ids[i] == 1 and i is not None and len(t or "") < 20000]
     for name, query, sql in (("op3", decontaminate.op3_decontamination, decontaminate.OP3_SQL), ("op10", ngram_join.op10_ngram_join, ngram_join.OP10_SQL)):
         kept = spark.read.parquet(f"{folder}/documents.parquet").filter(f"doc_id in ({', '.join(map(str, some))})")
         place = f"{folder}/{name}"
