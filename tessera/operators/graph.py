@@ -98,12 +98,13 @@ def resolve_cycles(pedigree: DataFrame, child: str, parents: list[str], score: s
 
     Nodes on no cycle, and before or behind none, are peeled off first, so what is left to search is as small as the errors
     are few; parts of it that don't touch are cut side by side. A missing score is 0."""
-    now = written(pedigree)
+    now, left = written(pedigree), None
     while True:
         edges = written(parent_edges(now, child, parents).select("child", "parent").distinct())
-        loops = edges.filter("child = parent")
-        core = on_cycles(edges)
-        inner = written(edges.join(core.withColumnRenamed("node", "child"), "child", "left_semi").join(core.withColumnRenamed("node", "parent"), "parent", "left_semi").unionByName(loops).distinct())
+        left = edges if left is None else left  # no cycle comes to be, so later rounds look where there were some
+        loops = left.filter("child = parent")
+        core = on_cycles(left)
+        inner = written(left.join(core.withColumnRenamed("node", "child"), "child", "left_semi").join(core.withColumnRenamed("node", "parent"), "parent", "left_semi").unionByName(loops).distinct())
         if inner.isEmpty():
             return now
         children = edges.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
@@ -111,6 +112,7 @@ def resolve_cycles(pedigree: DataFrame, child: str, parents: list[str], score: s
         cut = cut.join(now.select(F.col(child).alias("node"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score")), "node")
         first = Window.partitionBy("part").orderBy(F.desc("children"), "score", "node")
         cut = written(cut.withColumn("row", F.row_number().over(first)).filter("row = 1").select(F.col("node").alias("__cut")))
+        left = inner.join(cut, F.col("child") == F.col("__cut"), "left_anti")
         joined = now.join(cut, F.col(child) == F.col("__cut"), "left")
         now = written(joined.withColumns({p: F.when(F.col("__cut").isNull(), F.col(p)) for p in parents}).drop("__cut"))
 

@@ -163,8 +163,8 @@ def q_consistency_cut(spark, sf_dir):
 
 @query(None)
 def q_acyclic_pedigree(spark, sf_dir):
-    """Suppliers with parents that make cycles, cut until there are none."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("child"), F.col("s_acctbal").alias("score"))
-    n = F.lit(s.count())
-    ped = s.select("child", ((F.col("child") * 7 + 3) % n).cast("long").alias("p1"), F.floor(F.col("child") / 2).alias("p2"), "score").withColumn("p2", F.when(F.col("child") > 0, F.col("p2")))
+    """Suppliers as a tree in which every 25th has a child of its own as a parent too: cut until there is no cycle."""
+    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("child"), F.col("s_acctbal").alias("score"))
+    k = F.col("child")
+    ped = c.select("child", F.when(k % 25 == 0, 2 * k).alias("p1"), F.when(k > 0, F.floor(k / 2)).alias("p2"), "score")
     return graph.resolve_cycles(ped, "child", ["p1", "p2"], "score").select("child", "p1", "p2")

@@ -52,11 +52,11 @@ def q_phase_accuracy(spark, sf_dir):
     return found.withColumn("accuracy", F.round("accuracy", 7))
 
 
-@query("""WITH a AS (SELECT DISTINCT l_suppkey AS x, l_linenumber AS y FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_suppkey AS x, l_linenumber AS y FROM lineitem WHERE l_linestatus = 'O')
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS x, l_linenumber AS y FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey AS x, l_linenumber AS y FROM lineitem WHERE l_linestatus = 'O')
 SELECT *, 1 AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 2 FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def q_pair_difference(spark, sf_dir):
     """Pairs that only returned lines have, and that only open ones have."""
-    rows = lambda where: table(spark, sf_dir, "lineitem").filter(where).select(F.col("l_suppkey").alias("x"), F.col("l_linenumber").alias("y"))
+    rows = lambda where: table(spark, sf_dir, "lineitem").filter(where).select(F.col("l_partkey").alias("x"), F.col("l_linenumber").alias("y"))
     return validation.difference(rows("l_returnflag = 'R'"), rows("l_linestatus = 'O'"))
 
 
