@@ -281,24 +281,27 @@ def _unpacked(data: bytes) -> _Piece:
     return _Piece(first, last, *spines)
 
 
-def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out, rows, size, piece = _Rows(), [], 0, None
+def _grow(tree_keys: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rows, size, piece = _Rows(), [], 0, None
 
-    def grown() -> _Piece:
-        made = _grown(rows, out)
-        return made if piece is None else _merged(piece, made, out)
+        def grown() -> _Piece:
+            made = _grown(rows, out)
+            return made if piece is None else _merged(piece, made, out)
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            rows.append(r)
-            size += len(r["key"]) + 64
-            if len(rows) >= TREE_KEYS or size >= TREE_BYTES:
-                piece = grown()
-                rows, size = [], 0
-                yield from out.batches()
-    if rows:
-        piece = grown()
-    yield from _with_piece(out, piece)
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows.append(r)
+                size += len(r["key"]) + 64
+                if len(rows) >= tree_keys or size >= TREE_BYTES:
+                    piece = grown()
+                    rows, size = [], 0
+                    yield from out.batches()
+        if rows:
+            piece = grown()
+        yield from _with_piece(out, piece)
+
+    return run
 
 
 def _with_piece(out: _Rows, piece: _Piece | None) -> Iterator[pa.RecordBatch]:
@@ -326,16 +329,18 @@ def _merge(last: bool):
 _SCHEMA = "digest string, conv_id long, depth long, parent string, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, piece binary"
 
 
-def prefix_trie(conversations: DataFrame) -> DataFrame:
-    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of each node of `turns()` or `rebuilt()` rows."""
+def prefix_trie(conversations: DataFrame, tree_keys: int = TREE_KEYS, fan: int = FAN) -> DataFrame:
+    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of each node of `turns()` or `rebuilt()` rows.
+
+    A tree takes `tree_keys` keys, a merging task `fan` pieces; the result doesn't depend on either."""
     spark = conversations.sparkSession
     keys = staged(sequences(conversations), "sequences")
     size = keys.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    made = staged(over_arrow(keys.repartitionByRange(tasks, "key").sortWithinPartitions("key"), _grow, _SCHEMA), "trie")
+    made = staged(over_arrow(keys.repartitionByRange(tasks, "key").sortWithinPartitions("key"), _grow(tree_keys), _SCHEMA), "trie")
     nodes, pieces = [made.filter("piece is null")], made.filter("piece is not null")
     while True:
-        groups = -(-pieces.count() // FAN)
+        groups = -(-pieces.count() // fan)
         few = pieces.select(F.col("ends_sha256").alias("first"), "piece")  # first keys as hex, which sorts as they do
         dealt = few.repartition(1) if groups <= 1 else few.repartitionByRange(groups, "first")
         made = staged(over_arrow(dealt.sortWithinPartitions("first"), _merge(groups <= 1), _SCHEMA), "trie")

@@ -67,7 +67,7 @@ def revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", lea
     return digests.join(first, ["sha1", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha1", "refers_to").distinct()
 
 
-def _writer(folder: str, date: str):
+def _writer(folder: str, date: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -95,7 +95,7 @@ def _writer(folder: str, date: str):
                 data = record("revisit" if again else "response", page_urn(page), fields, head if again else head + payload, "application/http; msgtype=response")
                 out.write(data)
                 at, n = at + len(data), n + 1
-                if at >= FILE_BYTES:
+                if at >= file_bytes:
                     yield closed()
                     out = None
         if out is not None:
@@ -104,7 +104,7 @@ def _writer(folder: str, date: str):
     return run
 
 
-def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = DATE) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = DATE, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the pages to archives in `folder`, and returns their table: file, bytes, records. html doesn't travel where revisits are few, else once, by its id."""
     from pyarrow import fs
 
@@ -116,7 +116,7 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     same = F.col("page_id").eqNullSafe(F.col("__again")) & (_sha1("html") == F.col("sha1"))  # rows of one id may differ
     met = rows.join(F.broadcast(again) if few else again, same, "left")
     out = met.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
-    return staged(over_arrow(out, _writer(folder, date), "file string, bytes long, records long"), "archives")
+    return staged(over_arrow(out, _writer(folder, date, file_bytes), "file string, bytes long, records long"), "archives")
 
 
 def _head(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
@@ -172,7 +172,7 @@ def _candidates(source, size: int, start: int, end: int) -> list[tuple[int, int]
     return sorted(set(out))
 
 
-def _scan(folder: str):
+def _scan(folder: str, piece_bytes: int):
     schema = pa.schema([("file", pa.string()), ("piece", pa.int64()), ("at", pa.int64()), ("leap", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def _scan(folder: str):
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                end = min(r["bytes"], r["piece"] + PIECE_BYTES)
+                end = min(r["bytes"], r["piece"] + piece_bytes)
                 with store.open_input_file(f"{root}/{r['file']}") as source:
                     found = _candidates(source, r["bytes"], r["piece"], end)
                 leap: dict[int, int | None] = {}
@@ -194,11 +194,11 @@ def _scan(folder: str):
     return run
 
 
-def verified(files: DataFrame, folder: str) -> DataFrame:
+def verified(files: DataFrame, folder: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(file, piece, at): of each piece that the chain from its file's start reaches, the first record. An error where a chain breaks."""
-    pieces = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(PIECE_BYTES).cast("long"))).alias("piece"))
-    most = files.agg(F.max(F.ceil(F.col("bytes") / PIECE_BYTES))).first()[0] or 1
-    found = staged(over_arrow(pieces.repartition(max(1, pieces.count()), "file", "piece"), _scan(folder), "file string, piece long, at long, leap long"), "candidates")
+    pieces = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(piece_bytes).cast("long"))).alias("piece"))
+    most = files.agg(F.max(F.ceil(F.col("bytes") / piece_bytes))).first()[0] or 1
+    found = staged(over_arrow(pieces.repartition(max(1, pieces.count()), "file", "piece"), _scan(folder, piece_bytes), "file string, piece long, at long, leap long"), "candidates")
     # only candidates that some leap comes to, or the first, can be a piece's entry
     entries = found.select("file", F.col("leap").alias("at")).distinct()
     jump = staged(found.filter("at > 0").join(entries, ["file", "at"], "left_semi").unionByName(found.filter("at = 0")).select("file", "at", "leap"), "jump")
@@ -258,7 +258,7 @@ class _Stream:
         return out
 
 
-def _parse(folder: str, payloads: bool):
+def _parse(folder: str, payloads: bool, piece_bytes: int):
     def rows(stream: _Stream, end: int) -> Iterator[tuple]:
         while stream.at < end:
             fields = stream.head()
@@ -284,7 +284,7 @@ def _parse(folder: str, payloads: bool):
             for file, piece, at in zip(*(batch[c].to_pylist() for c in ("file", "piece", "at")), strict=True):
                 with store.open_input_file(f"{root}/{file}") as source:
                     held, size = [], 0
-                    for row in rows(_Stream(source, at), min(source.size(), piece + PIECE_BYTES)):
+                    for row in rows(_Stream(source, at), min(source.size(), piece + piece_bytes)):
                         held.append(row)
                         size += len(row[-1] or b"")
                         if len(held) == 512 or size >= READ_BYTES:
@@ -300,12 +300,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
 
 
-def read_warc(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+def read_warc(files: DataFrame, folder: str, payloads: bool = True, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(page_id, record_type, refers_to, url, payload_bytes, payload_digest, payload) of the responses and revisits of archives (file, bytes).
 
     A revisit's length and digest are those of the payload that it refers to; its own payload is null. Payloads are checked against their digests."""
-    found = staged(verified(files, folder), "entries")
-    return over_arrow(found.repartition(max(1, found.count()), "file", "piece"), _parse(folder, payloads), "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary")
+    found = staged(verified(files, folder, piece_bytes), "entries")
+    return over_arrow(found.repartition(max(1, found.count()), "file", "piece"), _parse(folder, payloads, piece_bytes), "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary")
 
 
 def op13_warc(spark, sf_dir: str) -> DataFrame:
