@@ -203,11 +203,24 @@ def _counted(filter: np.ndarray):
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches put together, up to STEP_BYTES: a set of phrases is looked up once for all of them."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= STEP_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _growing(right: list[pa.Array], left: list[pa.Array], longest: int):
     """Counts the phrases a word longer than those that are grown: by width, `right` and `left` have (language, phrase) as one string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "phrase", STEP_BYTES):
+        for batch in slices(_gathered(batches), "phrase", STEP_BYTES):
             lang = batch["lang"].dictionary_encode()
             langs = lang.dictionary.to_pylist()
             split = pc.split_pattern(batch["phrase"], " ")
