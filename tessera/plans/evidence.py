@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import genotype, maths
-from ..operators import discovery, pairs, windows
+from ..operators import discovery, graph, pairs, windows
 from ..sources.variants import keep_flags
 from .paths import FOUNDERS, cells, founder_alleles
 from .registry import query
@@ -160,7 +160,7 @@ def q_block_discovery(spark, sf_dir):
     """Haplotypes of each label's vectors, their components' signs taken as uncertain alleles."""
     x = 1 / (1 + F.exp(-8 * F.col("x")))
     p = _bits(spark, sf_dir).select("label", F.col("vec_id").alias("sample"), F.col("site").cast("long").alias("site"), ((1 - x) * (1 - x)).alias("p0"), (2 * x * (1 - x)).alias("p1"), (x * x).alias("p2"))
-    return discovery.discover(p, "label", "int", "sample", "site")
+    return discovery.discover(p, "label", "int", "sample", "site", graph.written)
 
 
 @query(f"""WITH {FOUNDERS}, q AS (SELECT u.label, u.hap AS h1, v.hap AS h2, u.site, u.allele + v.allele AS g FROM founders u JOIN founders v ON u.label = v.label AND u.site = v.site AND u.hap <= v.hap),

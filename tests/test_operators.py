@@ -311,7 +311,7 @@ def test_discovery_finds_planted_haplotypes(spark):
             rows.append(("b", s, site, *map(float, p)))
     df = spark.createDataFrame(rows, "block string, sample long, site long, p0 double, p1 double, p2 double")
     found = {}
-    for r in discovery.discover(df, "block", "string", "sample", "site").collect():
+    for r in discovery.discover(df, "block", "string", "sample", "site", graph.written).collect():
         found.setdefault(r["hap"], {})[r["site"]] = r["allele"]
     assert sorted([x[i] for i in range(40)] for x in found.values()) == sorted(haps.tolist())
 
@@ -330,7 +330,7 @@ def test_discovery_grows_as_far_as_the_cost_falls(spark):
         rows += [(1, sample, site, *[0.98 if g[site] == a else 0.01 for a in range(3)]) for site in range(40)]
     df = spark.createDataFrame(rows, "block int, sample long, site long, p0 double, p1 double, p2 double")
     found: dict = {}
-    for r in discovery.discover(df, "block", "int", "sample", "site").collect():
+    for r in discovery.discover(df, "block", "int", "sample", "site", graph.written).collect():
         found.setdefault(r["hap"], {})[r["site"]] = r["allele"]
     assert {tuple(h[s] for s in range(40)) for h in found.values()} >= {tuple(h) for h in haps.tolist()}
 
