@@ -32,12 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, over_arrow, settled, slices, staged
+from .common import discard, documents, over_arrow, settled, slices, staged
 from .textbytes import FOLD, byte_set, mix, utf8, word_hashes, word_spans
 
 TOP, LEAST, LONGEST, SHARE = 2000, 30, 4, 80
 #: Phrases grown in a round; bits of the filter; bytes of text of a step; hashes that a task holds before it sends them; bytes of text to a block of hashes.
-BATCH, FILTER_BITS, STEP_BYTES, HELD, BLOCK_BYTES = 1 << 17, 26, 4 << 20, 2_000_000, 64 << 20
+BATCH, FILTER_BITS, STEP_BYTES, HELD, BLOCK_BYTES = 1 << 17, 26, 2 << 20, 1_500_000, 64 << 20
 SCALE = 2_000_000
 _WORD = byte_set((0x20, 0x20), (0x09, 0x0D), *((b, b) for b in b".,;:!?"))
 _BREAK = ~byte_set((0x0A, 0x0D), *((b, b) for b in b".,;:!?"))
@@ -96,22 +96,19 @@ def _summed(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _hashed(blocks: int):
-    """Tables of hashes dealt to blocks by their high bits, and each language's number of words."""
+    """Tables of hashes, summed over a task's texts, dealt to blocks by their high bits."""
 
     def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
         x = _summed(held)
         block = (x["hash"] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
         cut = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
         rows = [k for k in range(blocks) if cut[k] < cut[k + 1]]
-        n = len(rows)
-        return pa.RecordBatch.from_pydict({"block": pa.array(rows, pa.int32()), "data": pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in rows], pa.binary()), "lang": pa.nulls(n, pa.string()), "n": pa.nulls(n, pa.int64())})
+        return pa.RecordBatch.from_pydict({"block": pa.array(rows, pa.int32()), "data": pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in rows], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, tokens = [], 0, {}
+        held, size = [], 0
         for batch in slices(batches, "text", STEP_BYTES):
             words = _Words(batch)
-            for lang, n in zip(words.langs, words.tokens.tolist(), strict=True):
-                tokens[lang] = tokens.get(lang, 0) + n
             values, n = np.unique(np.concatenate((words.hash, words.pairs())), return_counts=True)
             part = np.empty(len(values), _HASH)
             part["hash"], part["n"] = values, n
@@ -125,8 +122,6 @@ def _hashed(blocks: int):
                     held, size = [], 0
         if held:
             yield dealt(held)
-        n = len(tokens)
-        yield pa.RecordBatch.from_pydict({"block": pa.nulls(n, pa.int32()), "data": pa.nulls(n, pa.binary()), "lang": pa.array(list(tokens), pa.string()), "n": pa.array(list(tokens.values()), pa.int64())})
 
     return run
 
@@ -179,11 +174,13 @@ def _joined(words: pa.Array, codes: np.ndarray, place: np.ndarray, width: int) -
 
 
 def _counted(filter: np.ndarray):
-    """Words and pairs that pass, counted (words 1 and 2), and the runs of three words and more whose pairs all pass (words 0)."""
+    """Words and pairs that pass, counted (words 1 and 2), the runs of three words and more whose pairs all pass (words 0), and each language's words (-1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", STEP_BYTES):
             w = _Words(batch)
+            n = len(w.langs)
+            yield pa.RecordBatch.from_arrays([pa.array(w.langs, pa.string()), pa.nulls(n, pa.string()), pa.array(np.full(n, -1, np.int32)), pa.array(w.tokens)], schema=_COUNTS)
             if not len(w.start):
                 continue
             codes, words = w.strings()
@@ -320,11 +317,12 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", top: i
     docs = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
-    hashes = staged(over_arrow(docs, _hashed(blocks), "block int, data binary, lang string, n long"), "hashes")
-    tokens = hashes.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = staged(over_arrow(docs, _counted(_filter(hashes.filter("block is not null").select("block", "data"), least)), _SHAPE), "counts")
+    hashes = over_arrow(docs, _hashed(blocks), "block int, data binary")
+    counts = staged(over_arrow(docs, _counted(_filter(hashes, least)), _SHAPE), "counts")
+    tokens = staged(counts.filter("words = -1").groupBy("lang").agg(F.sum("n").alias("n")), "tokens")
     runs = staged(counts.filter("words = 0").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "runs")
     often = staged(_sum(counts.filter("words > 0"), least), "often")
+    discard(counts)
     words, grams = often.filter("words = 1").select("lang", "phrase", "f"), often.filter("words = 2")
     done, turn = None, 0
     while True:
