@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, linking, paths
-from .paths import _SRC, _USER, _emission_table, _emissions
+from ..operators import graph, linking, matching, paths
+from .paths import _SRC, _USER, FOUNDERS, _emission_table, _emissions, founder_alleles
 from .registry import query
 from .tables import table
 
@@ -64,3 +64,49 @@ def q_linked_likelihood(spark, sf_dir):
     """The log-likelihood of each vector's chain of blocks under the transitions that were learnt."""
     rows, edges, keys, sample = _learnt(spark, sf_dir)
     return linking.log_likelihoods(rows, edges, keys, sample, "layer", 4).withColumn("score", F.round("score", 5))
+
+
+_WEIGHTS = f"""WITH {FOUNDERS}, w AS (SELECT a.label, a.hap AS i, b.hap AS j, count(*) FILTER (a.allele = b.allele)::DOUBLE AS w FROM founders a JOIN founders b ON a.label = b.label AND b.site = a.site + 32 WHERE a.site < 32 GROUP BY ALL)"""
+
+
+def _weights(spark, sf_dir):
+    """(label, i, j, w): at how many sites founder i's first half has the alleles of founder j's second half."""
+    f = graph.written(founder_alleles(spark, sf_dir))
+    one = f.filter("site < 32").select("label", F.col("hap").cast("long").alias("i"), "site", F.col("allele").alias("a"))
+    two = f.filter("site >= 32").select("label", F.col("hap").cast("long").alias("j"), (F.col("site") - 32).alias("site"), F.col("allele").alias("b"))
+    return one.join(two, ["label", "site"]).groupBy("label", "i", "j").agg(F.count_if(F.col("a") == F.col("b")).cast("double").alias("w"))
+
+
+@query(f"""{_WEIGHTS}, n AS (SELECT label, count(DISTINCT i) AS n FROM w GROUP BY label),
+s AS (SELECT label, n, a.j AS ja, b.j AS jb, c.j AS jc, d.j AS jd, a.w + b.w + c.w + d.w AS total FROM w a JOIN w b USING (label) JOIN w c USING (label) JOIN w d USING (label) JOIN n USING (label)
+  WHERE n = 4 AND a.i = 0 AND b.i = 1 AND c.i = 2 AND d.i = 3 AND len(list_distinct([a.j, b.j, c.j, d.j])) = 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY total DESC, ja, jb, jc, jd) AS rank FROM s)
+SELECT label, rank::BIGINT AS rank, unnest([0, 1, 2, 3])::BIGINT AS i, unnest([ja, jb, jc, jd])::BIGINT AS j, total FROM r WHERE rank <= 3""")
+def q_best_assignments(spark, sf_dir):
+    """The three best ways to match each label's founders' first halves with their second halves, for labels of four founders."""
+    w = _weights(spark, sf_dir)
+    four = w.groupBy("label").agg(F.count_distinct("i").alias("n")).filter("n = 4").select("label")
+    return matching.best_assignments(w.join(four, "label"), {"label": w.schema["label"].dataType.simpleString()}, "i", "j", "w", 3)
+
+
+def _knots(spark, sf_dir):
+    """(child, parent): suppliers as a tree, in which every 25th has a child of its own as a parent too, and some a later supplier."""
+    k = F.col("s_suppkey").cast("long")
+    parents = F.array(F.when(k > 1, F.floor(k / 2)), F.when(k % 25 == 0, 2 * k), F.when(k % 40 == 7, k + 30))
+    return table(spark, sf_dir, "supplier").select(k.alias("child"), F.explode(parents).alias("parent")).filter("parent is not null")
+
+
+@query("""WITH RECURSIVE e AS (SELECT * FROM (SELECT s_suppkey::BIGINT AS child, unnest([CASE WHEN s_suppkey > 1 THEN s_suppkey // 2 END, CASE WHEN s_suppkey % 25 = 0 THEN 2 * s_suppkey END, CASE WHEN s_suppkey % 40 = 7 THEN s_suppkey + 30 END]) AS parent FROM supplier) WHERE parent IS NOT NULL),
+r(a, b) AS (SELECT child, parent FROM e UNION SELECT r.a, e.parent FROM r JOIN e ON e.child = r.b)
+SELECT x.a AS node, min(x.b)::BIGINT AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a""")
+def q_strong_components(spark, sf_dir):
+    """The suppliers that are their own ancestors, and the least one of each such knot."""
+    return graph.strong_components(_knots(spark, sf_dir))
+
+
+@query(None)
+def q_acyclic_choice(spark, sf_dir):
+    """For every supplier one pair of parents, made of the part and order numbers of its lines and scored by their discounts and taxes, so that no one is their own ancestor."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("child"), F.pmod(F.col("l_partkey"), F.lit(997)).alias("first"), F.pmod(F.col("l_orderkey"), F.lit(991)).alias("second"), (F.col("l_discount") + F.col("l_tax")).cast("double").alias("x"))
+    trios = lines.groupBy("child", "first", "second").agg(F.round(F.sum("x"), 6).alias("score")).filter("first <> child and second <> child")
+    return graph.acyclic_choice(trios, "child", "first", "second", "score")

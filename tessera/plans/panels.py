@@ -95,13 +95,14 @@ def q_stage_summary(spark, sf_dir):
     return b.groupBy("stage").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.avg("error"), 6).alias("error"), F.round(100 * F.avg(F.col("whole").cast("double")), 4).alias("percent_whole"))
 
 
-_ROWS = f"{FOUNDERS}, {_TRUE}, al AS (SELECT label, hap, site, allele FROM founders UNION ALL SELECT label, hap + 10, site, allele FROM truth), pk AS (SELECT label, hap, string_agg(CAST(allele AS VARCHAR), '' ORDER BY site) AS w FROM al WHERE site < 6 GROUP BY label, hap)"
+_ROWS = f"{FOUNDERS}, {_TRUE}, al AS (SELECT label, hap, site, allele FROM founders UNION ALL SELECT label, hap + 10, site, allele FROM truth UNION ALL SELECT label, hap + 20, site, allele FROM founders), pk AS (SELECT label, hap, string_agg(CAST(allele AS VARCHAR), '' ORDER BY site) AS w FROM al GROUP BY label, hap)"
 
 
 def _rows(spark, sf_dir):
-    """Both panels' haplotypes over six sites, so that some are equal."""
-    both = founder_alleles(spark, sf_dir).unionByName(_truth(spark, sf_dir).withColumn("hap", F.col("hap") + 10))
-    return panels.packed(both.filter("site < 6"), ["label"], "hap", "site", "allele").select("label", F.col("hap").cast("long").alias("hap"), "row")
+    """Both panels' haplotypes over all sites, and the first panel's under other numbers, so that some are equal."""
+    one = founder_alleles(spark, sf_dir)
+    both = one.unionByName(_truth(spark, sf_dir).withColumn("hap", F.col("hap") + 10)).unionByName(one.withColumn("hap", F.col("hap") + 20))
+    return panels.packed(both, ["label"], "hap", "site", "allele").select("label", F.col("hap").cast("long").alias("hap"), "row")
 
 
 @query(f'WITH {_ROWS} SELECT label, hap, w AS "row", CAST(dense_rank() OVER (PARTITION BY label ORDER BY w) - 1 AS INT) AS canonical FROM pk')
