@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, linking, matching, paths
+from ..operators import graph, linking, matching, mixture, paths
 from .paths import _SRC, _USER, FOUNDERS, _emission_table, _emissions, founder_alleles
 from .registry import query
 from .tables import table
@@ -110,3 +110,12 @@ def q_acyclic_choice(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("child"), F.pmod(F.col("l_partkey"), F.lit(997)).alias("first"), F.pmod(F.col("l_orderkey"), F.lit(991)).alias("second"), (F.col("l_discount") + F.col("l_tax")).cast("double").alias("x"))
     trios = lines.groupBy("child", "first", "second").agg(F.round(F.sum("x"), 6).alias("score")).filter("first <> child and second <> child")
     return graph.acyclic_choice(trios, "child", "first", "second", "score")
+
+
+@query(None)
+def q_sign_mixture(spark, sf_dir):
+    """For each label, the mixture of one or two patterns of signs that suits its vectors best, after eight rounds."""
+    bits = F.transform("embedding", lambda x: (x > 0).cast("int"))
+    rows = mixture.distinct_patterns(table(spark, sf_dir, "embeddings").select("label", bits.alias("bits")), ["label"], "bits")
+    best = mixture.chosen(mixture.fitted(rows, ["label"], 2, graph.written, restarts=1, rounds=8), ["label"])
+    return best.select("label", "k", F.round("log_likelihood", 4).alias("log_likelihood"), F.round("bic", 4).alias("bic"))
