@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, linking, matching, mixture, paths
+from ..operators import beam, graph, linking, matching, mixture, paths
 from .paths import _SRC, _USER, FOUNDERS, _emission_table, _emissions, founder_alleles
 from .registry import query
 from .tables import table
@@ -119,3 +119,37 @@ def q_sign_mixture(spark, sf_dir):
     rows = mixture.distinct_patterns(table(spark, sf_dir, "embeddings").select("label", bits.alias("bits")), ["label"], "bits")
     best = mixture.chosen(mixture.fitted(rows, ["label"], 2, graph.written, restarts=1, rounds=8), ["label"])
     return best.select("label", "k", F.round("log_likelihood", 4).alias("log_likelihood"), F.round("bic", 4).alias("bic"))
+
+
+_MESH = f"""WITH {FOUNDERS}, q AS (SELECT label, hap, site // 16 AS layer, site % 16 AS s, allele FROM founders),
+m AS (SELECT a.label, a.layer AS past, b.layer, a.hap AS h_from, b.hap AS h_to, avg((a.allele = b.allele)::INT)::DOUBLE AS w FROM q a JOIN q b ON a.label = b.label AND a.s = b.s AND a.layer < b.layer GROUP BY ALL),
+h AS (SELECT DISTINCT label, hap FROM founders)"""
+
+
+def _mesh(spark, sf_dir):
+    """(label, past, layer, h_from, h_to, score): founders in four stretches of 16 sites, and how alike their alleles are from one to a later."""
+    q = founder_alleles(spark, sf_dir).select("label", F.col("hap").cast("long").alias("hap"), F.floor(F.col("site") / 16).cast("int").alias("layer"), (F.col("site") % 16).alias("s"), "allele")
+    q = graph.written(q)
+    one = q.select("label", "s", F.col("layer").alias("past"), F.col("hap").alias("h_from"), F.col("allele").alias("x"))
+    met = one.join(q.select("label", "s", "layer", F.col("hap").alias("h_to"), F.col("allele").alias("y")), ["label", "s"]).filter("past < layer")
+    return met.groupBy("label", "past", "layer", "h_from", "h_to").agg(F.avg((F.col("x") == F.col("y")).cast("double")).alias("score")), q.select("label", "layer", F.col("hap").alias("h")).distinct()
+
+
+@query(f"""{_MESH}, p AS (SELECT a.label, a.hap AS a, b.hap AS b, c.hap AS c, d.hap AS d, ab.w + (ac.w + bc.w) / 2 + (ad.w + bd.w + cd.w) / 3 AS score FROM h a JOIN h b USING (label) JOIN h c USING (label) JOIN h d USING (label)
+  JOIN m ab ON ab.label = a.label AND ab.past = 0 AND ab.layer = 1 AND ab.h_from = a.hap AND ab.h_to = b.hap JOIN m ac ON ac.label = a.label AND ac.past = 0 AND ac.layer = 2 AND ac.h_from = a.hap AND ac.h_to = c.hap
+  JOIN m bc ON bc.label = a.label AND bc.past = 1 AND bc.layer = 2 AND bc.h_from = b.hap AND bc.h_to = c.hap JOIN m ad ON ad.label = a.label AND ad.past = 0 AND ad.layer = 3 AND ad.h_from = a.hap AND ad.h_to = d.hap
+  JOIN m bd ON bd.label = a.label AND bd.past = 1 AND bd.layer = 3 AND bd.h_from = b.hap AND bd.h_to = d.hap JOIN m cd ON cd.label = a.label AND cd.past = 2 AND cd.layer = 3 AND cd.h_from = c.hap AND cd.h_to = d.hap)
+SELECT label, a || '-' || b || '-' || c || '-' || d AS path, round(score, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, a, b, c, d) = 1""")
+def q_beam_best_path(spark, sf_dir):
+    """The best way for each label through its founders' four stretches, by a beam that is wide enough for all."""
+    mesh, nodes = _mesh(spark, sf_dir)
+    found = beam.search(mesh, nodes, {"label": mesh.schema["label"].dataType.simpleString()}, 256, 0.7, graph.written)
+    return found.filter("rank = 1").select("label", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), F.round("score", 6).alias("score"))
+
+
+@query(None)
+def q_beam_paths(spark, sf_dir):
+    """Five good and different ways for each label through its founders' four stretches."""
+    mesh, nodes = _mesh(spark, sf_dir)
+    found = beam.search(mesh, nodes, {"label": mesh.schema["label"].dataType.simpleString()}, 5, 0.7, graph.written)
+    return found.select("label", "rank", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), F.round("score", 6).alias("score"))
