@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,14 +26,16 @@ def fam(pedigree: DataFrame, family: str, child: str, father: str, mother: str,
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder: the next round begins there. Where none is set a local session (tests) gets one of our own; a cluster gets an error, as its machines share none."""
+    """The rows, written as a table to the checkpoint folder: the next round begins there. Where none is set a local session (tests) gets one of our own; a cluster gets an error, as its machines share none."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    path, schema = f"{context.getCheckpointDir().rstrip('/')}/written-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)  # a checkpoint would hand on the plan's constraints, which grow with each round
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def generations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
