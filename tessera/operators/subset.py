@@ -1,12 +1,13 @@
 """Choice of a block's haplotypes from a fixed pool, over losses that are worked out once.
 
 The losses of a pack of samples under every pair of the pool (and with a wildcard) are one row of a written table. A round reads them, and sends on, for each
-move of a block's choice, the sum of its samples' losses; a move adds, drops or exchanges one haplotype. All blocks move together.
+move of a block's choice, the sum of its samples' losses; a move adds, drops or exchanges haplotypes. All blocks move together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -48,28 +49,27 @@ def pool_losses(probabilities: DataFrame, pool: DataFrame, block: str, kind: str
     return met.mapInPandas(run, f"`{block}` {kind}, pack int, sites int, n long, haps array<long>, losses binary")
 
 
-def moves(cube: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(gone, added, loss of all samples) of every move from a choice; -1 is none. A sample's loss is that of its best pair of members, the wildcard always among them."""
+def moves(cube: np.ndarray, chosen: np.ndarray, wide: bool = False) -> Iterator[tuple[list[int], list[int], float]]:
+    """(gone, added, loss of all samples) of every move from a choice. A sample's loss is that of its best pair of members, the wildcard always among them.
+
+    A move takes away one at most and adds one at most; a wide one takes away one at most and adds two, or takes away two and adds one at most."""
     wild = cube.shape[1] - 1
-    own = np.append(chosen, wild).astype(np.int64)
-    rest = np.setdiff1d(np.arange(wild), chosen)
-    inner = cube[:, own][:, :, own]
-    now = inner.min(axis=(1, 2))
-    yield -1, -1, float(now.sum())
-    twice = np.einsum("nii->ni", cube)[:, rest]
-    beside = cube[:, rest][:, :, own]  # sample, new member, own member
-    first = beside.argmin(axis=2)
-    best = np.take_along_axis(beside, first[:, :, None], 2)[:, :, 0]
-    for c, x in zip(rest, np.minimum(now[:, None], np.minimum(best, twice)).sum(axis=0), strict=True):
-        yield -1, int(c), float(x)
-    second = np.partition(beside, 1, axis=2)[:, :, 1] if len(own) > 1 else best
-    for at, m in enumerate(chosen):
-        left = np.delete(np.arange(len(own)), at)
-        without = inner[:, left][:, :, left].min(axis=(1, 2))
-        yield int(m), -1, float(without.sum())
-        mate = np.where(first == at, second, best)  # the best partner of a new member that isn't the one that goes
-        for c, x in zip(rest, np.minimum(without[:, None], np.minimum(mate, twice)).sum(axis=0), strict=True):
-            yield int(m), int(c), float(x)
+    own, rest = np.append(chosen, wild).astype(np.int64), np.setdiff1d(np.arange(wild), chosen)
+    within, beside = cube[:, own][:, :, own], cube[:, rest][:, :, own]
+    twice, between = np.einsum("nii->ni", cube)[:, rest], cube[:, rest][:, :, rest]
+    for gone in [(), *combinations(range(len(chosen)), 1), *(combinations(range(len(chosen)), 2) if wide else ())]:
+        left = np.setdiff1d(np.arange(len(own)), gone)
+        now = within[:, left][:, :, left].min(axis=(1, 2))
+        one = np.minimum(now[:, None], np.minimum(beside[:, :, left].min(axis=2), twice))  # with each new member
+        names = [int(chosen[m]) for m in gone]
+        if not wide or len(gone) == 2 or not gone:
+            yield names, [], float(now.sum())
+        if not wide or len(gone) == 2:
+            yield from ((names, [int(c)], float(x)) for c, x in zip(rest, one.sum(axis=0), strict=True))
+        else:
+            for k in range(len(rest)):
+                both = np.minimum(np.minimum(one[:, k, None], one[:, k + 1 :]), between[:, k, k + 1 :]).sum(axis=0)
+                yield from ((names, [int(rest[k]), int(d)], float(x)) for d, x in zip(rest[k + 1 :], both, strict=True))
 
 
 def _costs(held: DataFrame, block: str, scale: float) -> DataFrame:
@@ -78,12 +78,13 @@ def _costs(held: DataFrame, block: str, scale: float) -> DataFrame:
 
 
 def chosen(held: DataFrame, block: str, kind: str, written: Callable[[DataFrame], DataFrame], scale: float = 0.5, settled: float = 1e-6) -> DataFrame:
-    """(block, haps, loss, bic) of each block of pool_losses() (written): the choice that no single move betters, by bic = haplotypes * cost + 2 * loss.
+    """(block, haps, loss, bic) of each block of pool_losses() (written): the choice that no move betters, by bic = haplotypes * cost + 2 * loss.
 
     A choice grows from nothing by its best addition as long as that lowers bic; then additions, drops and exchanges are taken, the best first (of equal ones that of fewest
-    haplotypes, then of the first in the pool), until none lowers it. So it is never worse than additions alone. A choice may be empty."""
+    haplotypes, then of the first in the pool), and, when none of them lowers it, exchanges of one for two and of two for one: a sample needs two haplotypes, and the one may
+    be worth nothing without the other. When these don't help either a block is done, so it is never worse than additions alone. A choice may be empty."""
     costs = written(_costs(held, block, scale))
-    state = held.groupBy(block).agg(F.first("haps").alias("pool")).select(block, "pool", F.array().cast("array<int>").alias("now"), F.lit(True).alias("grows"))
+    state = held.groupBy(block).agg(F.first("haps").alias("pool")).select(block, "pool", F.array().cast("array<int>").alias("now"), F.lit("add").alias("phase"))
     done: list[DataFrame] = []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,23 +92,23 @@ def chosen(held: DataFrame, block: str, kind: str, written: Callable[[DataFrame]
             out = []
             for r in frame.to_dict("records"):
                 k = len(r["pool"]) + 1
-                out += [{block: r[block], "gone": g, "added": a, "loss": x} for g, a, x in moves(np.frombuffer(r["losses"]).reshape(-1, k, k), np.asarray(r["now"], np.int64))]
+                out += [{block: r[block], "gone": g, "added": a, "loss": x} for g, a, x in moves(np.frombuffer(r["losses"]).reshape(-1, k, k), np.asarray(r["now"], np.int64), r["phase"] == "wide")]
             yield pd.DataFrame(out, columns=[block, "gone", "added", "loss"])
 
     while True:
-        measured = held.select(block, "losses").join(state, block).select(block, "pool", "now", "losses").mapInPandas(run, f"`{block}` {kind}, gone int, added int, loss double")
+        measured = held.select(block, "losses").join(state, block).select(block, "pool", "now", "phase", "losses").mapInPandas(run, f"`{block}` {kind}, gone array<int>, added array<int>, loss double")
         summed = measured.groupBy(block, "gone", "added").agg(F.sum("loss").alias("loss")).join(state, block).join(costs, block)
-        size = F.size("now") + F.when(F.col("added") >= 0, 1).otherwise(0) - F.when(F.col("gone") >= 0, 1).otherwise(0)
-        summed = summed.withColumn("size", size).withColumn("bic", F.col("size") * F.col("cost") + 2 * F.col("loss"))
-        stays = (F.col("gone") < 0) & (F.col("added") < 0)
+        summed = summed.withColumn("size", F.size("now") + F.size("added") - F.size("gone")).withColumn("bic", F.col("size") * F.col("cost") + 2 * F.col("loss"))
+        stays = (F.size("gone") == 0) & (F.size("added") == 0)
         body = F.struct("gone", "added", "loss", "bic")
-        open_ = F.when(~stays & (~F.col("grows") | (F.col("gone") < 0)), F.struct(F.round("bic", 6), "size", "gone", "added"))
-        best = summed.groupBy(block).agg(F.min_by(body, open_).alias("best"), F.min_by(body, ~stays).alias("own"), F.first("pool").alias("pool"), F.first("now").alias("now"), F.first("grows").alias("grows"))
+        open_ = F.when(~stays & ((F.col("phase") != "add") | (F.size("gone") == 0)), F.struct(F.round("bic", 6), "size", "gone", "added"))
+        best = summed.groupBy(block).agg(F.min_by(body, open_).alias("best"), F.min_by(body, ~stays).alias("own"), *[F.first(c).alias(c) for c in ("pool", "now", "phase")])
         moved = F.coalesce(F.col("best.bic") < F.col("own.bic") - settled, F.lit(False))
-        after = F.array_sort(F.concat(F.filter("now", lambda x: x != F.col("best.gone")), F.filter(F.array("best.added"), lambda x: x >= 0)))
-        step = written(best.select(block, "pool", F.when(moved, after).otherwise(F.col("now")).alias("now"), (moved & F.col("grows")).alias("grows"), (~moved & ~F.col("grows")).alias("done"), F.col("own.loss").alias("loss"), F.col("own.bic").alias("bic")))
-        done.append(step.filter("done"))
-        state = step.filter("not done").select(block, "pool", "now", "grows")
+        after = F.array_sort(F.concat(F.array_except("now", "best.gone"), "best.added"))
+        phase = F.when(moved, F.when(F.col("phase") == "add", "add").otherwise("one")).when(F.col("phase") == "add", "one").when(F.col("phase") == "one", "wide").otherwise("done")
+        step = written(best.select(block, "pool", F.when(moved, after).otherwise(F.col("now")).alias("now"), phase.alias("phase"), F.col("own.loss").alias("loss"), F.col("own.bic").alias("bic")))
+        done.append(step.filter("phase = 'done'"))
+        state = step.filter("phase <> 'done'").select(block, "pool", "now", "phase")
         if state.isEmpty():
             break
         if len(done) % 32 == 0:  # the plan of the result stays short

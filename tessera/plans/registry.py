@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import assignments, cohort, evidence, intervals, linking, maps, panels, paths, ranking, relations  # noqa: E402, F401
+from . import assignments, cohort, evidence, intervals, linking, maps, panels, paths, ranking, relations, selection  # noqa: E402, F401

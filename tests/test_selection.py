@@ -159,7 +159,13 @@ def test_moves_are_the_losses_of_the_choices_they_lead_to():
     cube = np.minimum(cube, cube.transpose(0, 2, 1))
     table = subset.subset_losses(cube)
     for chosen in ([], [2], [0, 3, 6], list(range(7))):
-        for gone, added, loss in subset.moves(cube, np.array(chosen, np.int64)):
-            after = (set(chosen) - {gone}) | ({added} - {-1})
-            own = [*sorted(after), 7]
-            assert loss == pytest.approx(cube[:, own][:, :, own].min(axis=(1, 2)).sum()) == pytest.approx(table[sum(1 << c for c in after)])
+        met = []
+        for wide in (False, True):
+            for gone, added, loss in subset.moves(cube, np.array(chosen, np.int64), wide):
+                after = (set(chosen) - set(gone)) | set(added)
+                own = [*sorted(after), 7]
+                assert loss == pytest.approx(cube[:, own][:, :, own].min(axis=(1, 2)).sum()) == pytest.approx(table[sum(1 << c for c in after)])
+                met.append((tuple(gone), tuple(added)))
+        n, m = len(chosen), 7 - len(chosen)
+        assert len(met) == len(set(met)) + 1  # to stay is among both
+        assert len(set(met)) == (1 + n) * (1 + m + m * (m - 1) // 2) + n * (n - 1) // 2 * (1 + m)
