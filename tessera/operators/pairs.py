@@ -15,16 +15,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def blocked(df: DataFrame, keys: list[str], id: str, vector: str, compare: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, side: int = 1024) -> DataFrame:
-    """Pairs a < b of ids within the keys, with what `compare` makes of their vectors; those where its `kept` is false go.
-
-    compare: two arrays (row, place) to a dict of arrays (row, row): the columns of `schema`, and optionally `kept`. Nulls in vectors are NaN."""
+def dealt_blocks(df: DataFrame, keys: list[str], id: str, vector: str, side: int = 1024) -> DataFrame:
+    """(keys, __id, __vector, __i, __j, __left): the rows as either side of each two blocks __i <= __j of their group; a block with itself has all its rows on both sides."""
     count = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / side)).cast("int").alias("__blocks"))
-    dealt = df.select(*keys, F.col(id).alias("__id"), F.col(vector).alias("__vector")).join(count, keys)
+    dealt = df.select(*keys, F.col(id).alias("__id"), F.col(vector).alias("__vector"))
+    dealt = dealt.join(count, keys) if keys else dealt.crossJoin(F.broadcast(count))  # one row
     dealt = dealt.withColumn("__own", F.pmod(F.xxhash64("__id"), F.col("__blocks")).cast("int"))
     body = [*keys, "__id", "__vector"]
     left = dealt.select(*body, F.col("__own").alias("__i"), F.explode(F.sequence(F.col("__own"), F.col("__blocks") - 1)).alias("__j"), F.lit(True).alias("__left"))
     right = dealt.select(*body, F.explode(F.sequence(F.lit(0), F.col("__own"))).alias("__i"), F.col("__own").alias("__j"), F.lit(False).alias("__left"))
+    return left.unionByName(right)
+
+
+def blocked(df: DataFrame, keys: list[str], id: str, vector: str, compare: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, side: int = 1024) -> DataFrame:
+    """Pairs a < b of ids within the keys, with what `compare` makes of their vectors; those where its `kept` is false go.
+
+    compare: two arrays (row, place) to a dict of arrays (row, row): the columns of `schema`, and optionally `kept`. Nulls in vectors are NaN."""
     names = [x.split()[0] for x in schema.split(",")]
     kind = df.schema[id].dataType.simpleString()
 
@@ -42,7 +48,7 @@ def blocked(df: DataFrame, keys: list[str], id: str, vector: str, compare: Calla
         i, j = np.nonzero(kept & (a[:, None] != b[None, :]))
         return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])} | {n: found[n][i, j] for n in names})
 
-    return left.unionByName(right).groupBy(*keys, "__i", "__j").applyInPandas(run, f"a {kind}, b {kind}, {schema}")
+    return dealt_blocks(df, keys, id, vector, side).groupBy(*keys, "__i", "__j").applyInPandas(run, f"a {kind}, b {kind}, {schema}")
 
 
 def signs_apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

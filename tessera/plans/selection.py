@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cuts, graph, subset, triangles
+from ..operators import cuts, density, graph, subset, triangles
 from .panels import _TRUE, _truth
 from .paths import FOUNDERS, cells, founder_alleles
 from .registry import query
@@ -120,3 +120,34 @@ def q_pool_choice(spark, sf_dir):
 def q_pool_enumerated(spark, sf_dir):
     """The same choice, from the losses of all subsets."""
     return _named(subset.enumerated(_held(spark, sf_dir), "label", "int", SCALE))
+
+
+def _signs(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: (x > 0).cast("int")).alias("signs"))
+
+
+_REACH = """WITH RECURSIVE v AS (SELECT label, vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)::INT) ELSE 0::HUGEINT END FOR i IN range(1, 65)])::HUGEINT AS w FROM embeddings),
+d AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.w, b.w)) / 64.0::DOUBLE AS d FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
+c AS (SELECT label, a, max(d) AS core FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY label, a ORDER BY d) <= 3) GROUP BY label, a),
+e AS (SELECT d.label, d.a, d.b, greatest(d, x.core, y.core) AS weight FROM d JOIN c x ON x.label = d.label AND x.a = d.a JOIN c y ON y.label = d.label AND y.a = d.b)"""
+
+
+@query(f"{_REACH} SELECT label, a AS vec_id, round(core, 7) AS core FROM c")
+def q_core_distances(spark, sf_dir):
+    """The share of signs in which a vector differs from the third nearest of its label."""
+    return density.core_distances(_signs(spark, sf_dir), ["label"], "vec_id", "signs", 3, side=256).withColumn("core", F.round("core", 7))
+
+
+@query(f"""{_REACH}, t(label, i, reached, weight) AS (SELECT label, 0, [min(vec_id)], 0::DOUBLE FROM v GROUP BY label
+UNION ALL SELECT label, i + 1, list_append(reached, b), w FROM (SELECT t.label, t.i, t.reached, arg_min(e.b, (e.weight, e.b)) AS b, min(e.weight) AS w FROM t JOIN e ON e.label = t.label AND list_contains(t.reached, e.a) AND NOT list_contains(t.reached, e.b) GROUP BY t.label, t.i, t.reached))
+SELECT label, round(weight, 7) AS weight, count(*) AS edges FROM t WHERE i > 0 GROUP BY 1, 2""")
+def q_spanning_tree(spark, sf_dir):
+    """How many edges of each weight the least tree over a label's vectors has, by mutual reachability: all such trees have as many."""
+    edges = density.reachability_edges(_signs(spark, sf_dir), ["label"], "vec_id", "signs", 3, graph.written, side=256)
+    return density.spanning_tree(edges, ["label"], graph.written).groupBy("label", F.round("weight", 7).alias("weight")).agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query(None)
+def q_density_clusters(spark, sf_dir):
+    """The density clusters of a label's vectors by their signs, of three vectors or more."""
+    return density.clusters(_signs(spark, sf_dir), ["label"], "vec_id", "signs", 3, 3, graph.written, side=256).withColumn("stability", F.round("stability", 6))
