@@ -52,7 +52,7 @@ def pool_losses(probabilities: DataFrame, pool: DataFrame, block: str, kind: str
 def moves(cube: np.ndarray, chosen: np.ndarray, wide: bool = False) -> Iterator[tuple[list[int], list[int], float]]:
     """(gone, added, loss of all samples) of every move from a choice. A sample's loss is that of its best pair of members, the wildcard always among them.
 
-    A move takes away one at most and adds one at most; a wide one takes away one at most and adds two, or takes away two and adds one at most."""
+    A move takes away one at most and adds one at most; a wide one takes away two or adds two, or both."""
     wild = cube.shape[1] - 1
     own, rest = np.append(chosen, wild).astype(np.int64), np.setdiff1d(np.arange(wild), chosen)
     within, beside = cube[:, own][:, :, own], cube[:, rest][:, :, own]
@@ -66,7 +66,7 @@ def moves(cube: np.ndarray, chosen: np.ndarray, wide: bool = False) -> Iterator[
             yield names, [], float(now.sum())
         if not wide or len(gone) == 2:
             yield from ((names, [int(c)], float(x)) for c, x in zip(rest, one.sum(axis=0), strict=True))
-        else:
+        if wide:
             for k in range(len(rest)):
                 both = np.minimum(np.minimum(one[:, k, None], one[:, k + 1 :]), between[:, k, k + 1 :]).sum(axis=0)
                 yield from ((names, [int(rest[k]), int(d)], float(x)) for d, x in zip(rest[k + 1 :], both, strict=True))
@@ -81,8 +81,8 @@ def chosen(held: DataFrame, block: str, kind: str, written: Callable[[DataFrame]
     """(block, haps, loss, bic) of each block of pool_losses() (written): the choice that no move betters, by bic = haplotypes * cost + 2 * loss.
 
     A choice grows from nothing by its best addition as long as that lowers bic; then additions, drops and exchanges are taken, the best first (of equal ones that of fewest
-    haplotypes, then of the first in the pool), and, when none of them lowers it, exchanges of one for two and of two for one: a sample needs two haplotypes, and the one may
-    be worth nothing without the other. When these don't help either a block is done, so it is never worse than additions alone. A choice may be empty."""
+    haplotypes, then of the first in the pool), and, when none of them lowers it, moves of two, which may be exchanged for two others: a sample needs two haplotypes, and the one may
+    be worth nothing without the other. A better choice that lies further off than two for two isn't found: enumerated() finds it. When these don't help either a block is done, so it is never worse than additions alone. A choice may be empty."""
     costs = written(_costs(held, block, scale))
     state = held.groupBy(block).agg(F.first("haps").alias("pool")).select(block, "pool", F.array().cast("array<int>").alias("now"), F.lit("add").alias("phase"))
     done: list[DataFrame] = []

@@ -168,4 +168,4 @@ def test_moves_are_the_losses_of_the_choices_they_lead_to():
                 met.append((tuple(gone), tuple(added)))
         n, m = len(chosen), 7 - len(chosen)
         assert len(met) == len(set(met)) + 1  # to stay is among both
-        assert len(set(met)) == (1 + n) * (1 + m + m * (m - 1) // 2) + n * (n - 1) // 2 * (1 + m)
+        assert len(set(met)) == (1 + n) * (1 + m + m * (m - 1) // 2) + n * (n - 1) // 2 * (1 + m + m * (m - 1) // 2)
