@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cuts, density, graph, subset, triangles
+from ..operators import cuts, density, graph, phase, subset, triangles
 from .panels import _TRUE, _truth
 from .paths import FOUNDERS, cells, founder_alleles
 from .registry import query
@@ -151,3 +151,13 @@ def q_spanning_tree(spark, sf_dir):
 def q_density_clusters(spark, sf_dir):
     """The density clusters of a label's vectors by their signs, of three vectors or more."""
     return density.clusters(_signs(spark, sf_dir), ["label"], "vec_id", "signs", 3, 3, graph.written, side=256).withColumn("stability", F.round("stability", 6))
+
+
+@query(None)
+def q_pedigree_phase(spark, sf_dir):
+    """Vectors as samples of 32 bins, each the child of the two before it: the bins whose strands a round of phase correction exchanges."""
+    v = _signs(spark, sf_dir).select(F.col("vec_id").alias("sample"), "signs")
+    at = lambda k: F.get("signs", (F.col("bin") + k).cast("int")).cast("long")
+    painted = v.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long")))).select("sample", "bin", F.lit(1e4).alias("width"), at(0).alias("h1"), at(32).alias("h2"))
+    known = v.select(F.col("sample").alias("child"), (F.col("sample") - 2).alias("father"), (F.col("sample") - 1).alias("mother"))
+    return phase.phases(graph.written(painted), known, "long")
