@@ -46,11 +46,17 @@ def _model(children: bool) -> Model:
     return Model(np.zeros(8), _BIN + (["moved", "still"] if children else []), matrices)
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """For a join by sorting: a table of bins is a few bits a row in its file, by which Spark would take it for small and hold it whole on the driver to broadcast it."""
+    return df.hint("merge")
+
+
 def _trios(painted: DataFrame, pedigree: DataFrame, rate: float) -> DataFrame:
     """(child, father, mother, bin, c1, c2, p1, p2, q1, q2, switch, stay, free): bins that all three have. The first bin of a child steps for nothing."""
     of = lambda who, one, two: painted.select(F.col("sample").alias(who), "bin", F.col("h1").alias(one), F.col("h2").alias(two))
     own = painted.select(F.col("sample").alias("child"), "bin", "width", F.col("h1").alias("c1"), F.col("h2").alias("c2"))
-    met = own.join(pedigree.filter("father is not null and mother is not null"), "child").join(of("father", "p1", "p2"), ["father", "bin"]).join(of("mother", "q1", "q2"), ["mother", "bin"])
+    known = pedigree.filter("father is not null and mother is not null")
+    met = own.join(_sorted(known), "child").join(_sorted(of("father", "p1", "p2")), ["father", "bin"]).join(_sorted(of("mother", "q1", "q2")), ["mother", "bin"])
     w = Window.partitionBy("child").orderBy("bin")
     alike = F.coalesce(F.col("c1") == F.col("c2"), F.lit(False))
     chance = F.least(F.greatest(F.col("width") * rate, F.lit(1e-15)), F.lit(0.5))
@@ -61,7 +67,7 @@ def _trios(painted: DataFrame, pedigree: DataFrame, rate: float) -> DataFrame:
 
 def _by_bin(runs: DataFrame, rows: DataFrame) -> DataFrame:
     """Each bin's state, from the runs of its child: a run's start is carried on to the bins before the next one."""
-    begun = rows.select("child", "bin").join(runs.select("child", F.col("start").alias("bin"), "state"), ["child", "bin"], "left")
+    begun = rows.select("child", "bin").join(_sorted(runs.select("child", F.col("start").alias("bin"), "state")), ["child", "bin"], "left")
     return begun.withColumn("state", F.last("state", ignorenulls=True).over(Window.partitionBy("child").orderBy("bin")))
 
 
@@ -69,7 +75,7 @@ def inherited(trios: DataFrame, kind: str) -> DataFrame:
     """(parent, child, bin, strand, moved): the strand of each parent that a child has got, and whether it is another than in the bin before.
 
     Both parents come from one path: in a trio the child's phase and both parents' strands are one state."""
-    state = _by_bin(best_paths(trios, {"child": kind}, "bin", _model(False)), trios).join(trios.select("child", "bin", "father", "mother"), ["child", "bin"])
+    state = _by_bin(best_paths(trios, {"child": kind}, "bin", _model(False)), trios).join(_sorted(trios.select("child", "bin", "father", "mother")), ["child", "bin"])
     strand = lambda shift: F.call_function("shiftright", "state", F.lit(shift)).bitwiseAND(F.lit(1).cast("bigint")).cast("int")
     both = F.explode(F.array(F.struct(F.col("father").alias("parent"), strand(1).alias("strand")), F.struct(F.col("mother").alias("parent"), strand(0).alias("strand"))))
     each = state.select("child", "bin", both.alias("e")).select("e.parent", "child", "bin", "e.strand")
@@ -82,7 +88,7 @@ def phases(painted: DataFrame, pedigree: DataFrame, kind: str, rate: float = 5e-
     painted: (sample, bin, width, h1, h2), bins whole numbers, one row each, founders by number (a class of equal ones in a bin is one number), null or negative if unknown; pedigree: (child, father, mother)."""
     trios = _trios(painted, pedigree, rate)
     got = inherited(trios, kind).groupBy(F.col("parent").alias("child"), "bin").agg(F.sum(F.col("moved").cast("double")).alias("moved"), F.count(F.lit(1)).cast("double").alias("kids"))
-    rows = trios.join(got, ["child", "bin"], "left").fillna(0.0, ["moved", "kids"]).withColumn("still", F.col("kids") - F.col("moved"))
+    rows = trios.join(_sorted(got), ["child", "bin"], "left").fillna(0.0, ["moved", "kids"]).withColumn("still", F.col("kids") - F.col("moved"))
     state = _by_bin(best_paths(rows, {"child": kind}, "bin", _model(True)), rows)
     return state.select(F.col("child").alias("sample"), "bin", F.call_function("shiftright", "state", F.lit(2)).cast("int").alias("phase"))
 
@@ -98,5 +104,5 @@ def corrected(painted: DataFrame, pedigree: DataFrame, kind: str, written: Calla
         if turned.isEmpty():
             return now, done
         swap = F.col("phase").isNotNull()
-        now = written(now.join(turned, ["sample", "bin"], "left").select("sample", "bin", "width", F.when(swap, F.col("h2")).otherwise(F.col("h1")).alias("h1"), F.when(swap, F.col("h1")).otherwise(F.col("h2")).alias("h2")))
+        now = written(now.join(_sorted(turned), ["sample", "bin"], "left").select("sample", "bin", "width", F.when(swap, F.col("h2")).otherwise(F.col("h1")).alias("h1"), F.when(swap, F.col("h1")).otherwise(F.col("h2")).alias("h2")))
     return now, rounds
