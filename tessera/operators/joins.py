@@ -8,6 +8,8 @@ carry the last or next row over.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,22 @@ from pyspark.sql import functions as F
 CLOSED = {"left": lambda x, a, b: (x >= a) & (x < b), "right": lambda x, a, b: (x > a) & (x <= b), "both": lambda x, a, b: (x >= a) & (x <= b)}
 
 
+def crossed(left: DataFrame, right: DataFrame, on: list[str], most: int = 1 << 22) -> DataFrame:
+    """left.join(right, on), where few keys have very many rows on both sides: the left rows of a key are dealt to blocks, of `most` pairs or so each, and the right ones go to all of these.
+
+    The number of tasks follows from that of the pairs, not from the bytes read, and neither side is broadcast."""
+    count = lambda df, name: df.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+    pairs = F.col("__left") * F.col("__right").cast("double")
+    size = count(left, "__left").join(count(right, "__right"), on).select(*on, pairs.alias("__pairs"), F.least(F.col("__left"), F.ceil(pairs / most)).cast("int").alias("__blocks"))
+    total = size.agg(F.sum("__pairs")).first()[0] or 0.0
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / most))
+    size = size.drop("__pairs")
+    by = [*on, "__block"]
+    one = left.join(size, on).withColumn("__block", F.pmod(F.xxhash64(*left.columns), F.col("__blocks")).cast("int")).drop("__blocks")
+    two = right.join(size, on).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+    return one.repartition(tasks, *by).join(two.repartition(tasks, *by).hint("merge"), by).drop("__block")
+
+
 def containing(points: DataFrame, segments: DataFrame, keys: list[str], at: str, start: str, end: str, width: int, closed: str = "left", how: str = "inner") -> DataFrame:
     """Each point with the segments of its keys that contain it; `width` is that of a bucket, best near a usual segment's."""
     bucket = lambda x: F.floor(F.col(x) / width)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import genotype
-from ..operators import graph, pairs, transitions
+from ..operators import graph, joins, pairs, transitions
 from .registry import query
 from .tables import table
 
@@ -16,7 +16,8 @@ def q_cross_pairs(spark, sf_dir):
     """Every father with every mother of a nation."""
     s = table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
     c = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
-    return table(spark, sf_dir, "nation").select("n_nationkey").join(s, "n_nationkey").join(c, "n_nationkey")
+    fathers = table(spark, sf_dir, "nation").select("n_nationkey").join(s, "n_nationkey")
+    return joins.crossed(c, fathers, ["n_nationkey"]).select("n_nationkey", "s_suppkey", "c_custkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
