@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import crossed
+
 
 def even_transitions(nodes: DataFrame, keys: list[str], layer: str, node: str, gap: int = 1) -> DataFrame:
     """Edges from each node to all of the layer `gap` on, of equal chance out of it."""
     a = nodes.select(*keys, F.col(layer).alias("layer"), F.col(node).alias("h_from"))
     b = nodes.select(*keys, (F.col(layer) - gap).alias("layer"), F.col(node).alias("h_to"))
-    return a.join(b, [*keys, "layer"]).withColumn("p", 1 / F.count(F.lit(1)).over(Window.partitionBy(*keys, "layer", "h_from")))
+    after = [*keys, "layer"]
+    twice = a.groupBy(*after, "h_from").agg(F.count(F.lit(1)).alias("__times"))  # a node that is there twice shares its chance out
+    out = b.groupBy(*after).agg(F.count(F.lit(1)).alias("__out"))
+    chance = twice.join(out, after).select(*after, "h_from", (1 / (F.col("__times") * F.col("__out"))).alias("p"))
+    first = a.join(chance, [*after, "h_from"])
+    return crossed(first, b, after).select(*after, "h_from", "h_to", "p")
 
 
 def smoothed(old: DataFrame, new: DataFrame, keys: list[str], rate: float) -> DataFrame:
