@@ -41,7 +41,7 @@ def q_expected_switches(spark, sf_dir):
 def _chains(spark, sf_dir):
     """(label, sample, layer, e): the vectors' bins as blocks, with log emissions of pairs of their label's founders."""
     label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), "label")
-    e = _emission_table(spark, sf_dir).select("sample", F.col("bin").alias("layer"), "h1", "h2", "log_emission").join(label, "sample")
+    e = _emission_table(spark, sf_dir).filter("h1 <= h2").select("sample", F.col("bin").alias("layer"), "h1", "h2", "log_emission").join(label, "sample")
     return linking.chains(e, ["label"], "sample", "layer", 4)
 
 
