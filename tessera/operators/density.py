@@ -7,48 +7,73 @@ The tree, one edge a row of the group, is condensed by one task a group: 24 byte
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from .pairs import dealt_blocks, signs_apart
+from .pairs import dealt_blocks, signs_apart, tasks
 
 #: Distances below this count as this when their inverse, a density, is taken.
 LEAST = 1e-3
+#: Distances that are made at once.
+STRIP = 1 << 18
 
 
 def share_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The share of differing places among those known in both; 1 where there are none."""
     known, differ = signs_apart(x, y)
-    return np.where(known > 0, differ / np.maximum(known, 1), 1.0)
+    share = differ / np.maximum(known, 1)
+    share[known == 0] = 1.0
+    return share
 
 
-def _sides(rows: pd.DataFrame, distance: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+def _sides(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
     rows = rows.sort_values("__id", kind="stable")
     a, b = rows[rows["__left"]], rows[~rows["__left"]]
     x, y = (np.array([np.asarray(v, float) for v in s["__vector"]]).reshape(len(s), -1) for s in (a, b))
-    return a["__id"].to_numpy(), b["__id"].to_numpy(), distance(x, y) if len(a) and len(b) else np.zeros((len(a), len(b))), bool(rows["__i"].iloc[0] == rows["__j"].iloc[0])
+    return a["__id"].to_numpy(), b["__id"].to_numpy(), x, y, bool(rows["__i"].iloc[0] == rows["__j"].iloc[0])
 
 
-def core_distances(df: DataFrame, keys: list[str], id: str, vector: str, near: int, distance: Callable = share_apart, side: int = 1024) -> DataFrame:
+def _strips(x: np.ndarray, y: np.ndarray, distance: Callable) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances to all of y) of some rows of x at a time."""
+    step = max(1, STRIP // max(1, len(y)))
+    for at in range(0, len(x) if len(y) else 0, step):
+        yield at, distance(x[at : at + step], y)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, near: int, distance: Callable, same: bool) -> list[list[float]]:
+    """Of each row of x its least distances to rows of y, `near` of them or as many as there are; not to itself where y is the same."""
+    out: list[list[float]] = []
+    for at, d in _strips(x, y, distance):
+        if same:
+            d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
+        few = np.partition(d, near - 1, axis=1)[:, :near] if near < d.shape[1] else d
+        out += few.tolist() if np.isfinite(few).all() else [v[np.isfinite(v)].tolist() for v in few]
+    return out or [[] for _ in x]
+
+
+def core_distances(df: DataFrame, keys: list[str], id: str, vector: str, near: int, distance: Callable = share_apart, side: int = 4096) -> DataFrame:
     """(keys, id, core): the distance of each row to its `near`-th nearest other, or its farthest where there are fewer; null for a row by itself. Ids are unique within the keys, vectors not null."""
     kind = df.schema[id].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b, d, same = _sides(rows, distance)
-        if same:
-            np.fill_diagonal(d, np.inf)
-        least = lambda m: [x[np.isfinite(x)].tolist() for x in np.sort(m, axis=1)[:, :near]]
-        return pd.DataFrame({"id": a if same else np.concatenate([a, b]), "least": least(d) + ([] if same else least(d.T))})
+        a, b, x, y, same = _sides(rows)
+        least = _nearest(x, y, near, distance, same) + ([] if same else _nearest(y, x, near, distance, False))
+        return pd.DataFrame({"id": a if same else np.concatenate([a, b]), "least": least})
 
-    found = dealt_blocks(df, keys, id, vector, side).groupBy(*keys, "__i", "__j").applyInPandas(_keyed(run, keys), f"{_kinds(df, keys)}id {kind}, least array<double>")
+    found = _by_blocks(df, keys, id, vector, side).applyInPandas(_keyed(run, keys), f"{_kinds(df, keys)}id {kind}, least array<double>")
     every = found.groupBy(*keys, "id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("least"))), 1, near).alias("least"))
     return every.select(*keys, F.col("id").alias(id), F.array_max("least").alias("core"))
 
 
+def _by_blocks(df: DataFrame, keys: list[str], id: str, vector: str, side: int) -> GroupedData:
+    """Each two blocks of rows as a group; dealt by number, as few bytes are much work."""
+    return dealt_blocks(df, keys, id, vector, side).repartition(tasks(df), *keys, "__i", "__j").groupBy(*keys, "__i", "__j")
+
+
 def _kinds(df: DataFrame, keys: list[str]) -> str:
     return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
 
@@ -66,23 +91,28 @@ def _keyed(run: Callable[[pd.DataFrame], pd.DataFrame], keys: list[str]) -> Call
 def spanned(weights: np.ndarray) -> list[tuple[int, int]]:
     """The edges (row, column) of a minimum spanning tree of the rows and columns of a matrix, each edge a cell: it grows from the first row by the nearest node, time and again."""
     rows, columns = weights.shape
+    turned = np.empty((columns, rows))  # a column's cells lie far apart
+    for at in range(0, rows, 64):
+        turned[:, at : at + 64] = weights[at : at + 64].T
     near_row, near_column = np.full(rows, np.inf), weights[0].copy()
     by_row, by_column = np.zeros(rows, np.int64), np.zeros(columns, np.int64)
     open_row, open_column = np.ones(rows, bool), np.ones(columns, bool)
     open_row[0] = False
     out = []
     for _ in range(rows + columns - 1):
-        r, c = np.where(open_row, near_row, np.inf).argmin(), np.where(open_column, near_column, np.inf).argmin()
+        r, c = near_row.argmin(), near_column.argmin()  # infinite where a node is taken
         if open_column[c] and (not open_row[r] or near_column[c] <= near_row[r]):
             out.append((int(by_column[c]), int(c)))
-            open_column[c] = False
-            closer = weights[:, c] < near_row
-            near_row[closer], by_row[closer] = weights[closer, c], c
+            open_column[c], near_column[c] = False, np.inf
+            closer = (turned[c] < near_row) & open_row
+            np.copyto(near_row, turned[c], where=closer)
+            np.copyto(by_row, c, where=closer)
         else:
             out.append((int(r), int(by_row[r])))
-            open_row[r] = False
-            closer = weights[r] < near_column
-            near_column[closer], by_column[closer] = weights[r, closer], r
+            open_row[r], near_row[r] = False, np.inf
+            closer = (weights[r] < near_column) & open_column
+            np.copyto(near_column, weights[r], where=closer)
+            np.copyto(by_column, r, where=closer)
     return out
 
 
@@ -90,18 +120,19 @@ def _own_tree(weights: np.ndarray) -> list[tuple[int, int]]:
     """The same of a square matrix whose rows and columns are the same nodes."""
     n = len(weights)
     near, by, open_ = weights[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
-    open_[0] = False
+    open_[0], near[0] = False, np.inf
     out = []
     for _ in range(n - 1):
-        c = int(np.where(open_, near, np.inf).argmin())
+        c = int(near.argmin())
         out.append((int(by[c]), c))
-        open_[c] = False
-        closer = weights[c] < near
-        near[closer], by[closer] = weights[c, closer], c
+        open_[c], near[c] = False, np.inf
+        closer = (weights[c] < near) & open_
+        np.copyto(near, weights[c], where=closer)
+        np.copyto(by, c, where=closer)
     return out
 
 
-def reachability_edges(df: DataFrame, keys: list[str], id: str, vector: str, near: int, written: Callable[[DataFrame], DataFrame], distance: Callable = share_apart, side: int = 1024) -> DataFrame:
+def reachability_edges(df: DataFrame, keys: list[str], id: str, vector: str, near: int, written: Callable[[DataFrame], DataFrame], distance: Callable = share_apart, side: int = 4096) -> DataFrame:
     """(keys, a, b, weight): of each two blocks the spanning tree by mutual reachability, the greatest of a distance and its ends' core distances. Their union holds a tree of the whole."""
     kind = df.schema[id].dataType.simpleString()
     core = written(core_distances(df, keys, id, vector, near, distance, side))
@@ -109,19 +140,22 @@ def reachability_edges(df: DataFrame, keys: list[str], id: str, vector: str, nea
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         last = lambda x, y: np.maximum(distance(x[:, :-1], y[:, :-1]), np.maximum(x[:, -1:], y[:, -1][None, :]))
-        a, b, w, same = _sides(rows, last)
+        a, b, x, y, same = _sides(rows)
+        w = np.zeros((len(a), len(b)))
+        for at, d in _strips(x, y, last):
+            w[at : at + len(d)] = d
         edges = (_own_tree(w) if same else spanned(w)) if w.size else []
         i, j = np.array(edges, np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": pd.Series(np.minimum(a[i], b[j]), dtype=a.dtype), "b": pd.Series(np.maximum(a[i], b[j]), dtype=a.dtype), "weight": w[i, j]})
 
-    return dealt_blocks(with_core, keys, id, "__with", side).groupBy(*keys, "__i", "__j").applyInPandas(_keyed(run, keys), f"{_kinds(df, keys)}a {kind}, b {kind}, weight double")
+    return _by_blocks(with_core, keys, id, "__with", side).applyInPandas(_keyed(run, keys), f"{_kinds(df, keys)}a {kind}, b {kind}, weight double")
 
 
 def spanning_tree(edges: DataFrame, keys: list[str], written: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(keys, a, b, weight): the least spanning forest of the edges (keys, a, b, weight), of equal weights the edge of least ends first.
 
     Rounds: every component takes its least edge to another, and the components that hang together become one, of which the root is found by doubling its members' reach. At most log2 of the nodes' number
-    of rounds. Loops, and all but the least of parallel edges, are left out."""
+    of rounds. Loops, and all but the least of parallel edges, of nodes and then of components, are left out."""
     live = written(edges.filter("a <> b").groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("weight").alias("weight")).withColumns({"ca": F.col("a"), "cb": F.col("b")}))
     taken = []
     while not live.isEmpty():
@@ -140,7 +174,8 @@ def spanning_tree(edges: DataFrame, keys: list[str], written: Callable[[DataFram
                 break
         named = lambda c: root.select(*keys, F.col("c").alias(c), F.col("to").alias(f"__{c}"))  # noqa: E731, B023
         met = live.join(named("ca"), [*keys, "ca"]).join(named("cb"), [*keys, "cb"])
-        live = written(met.filter("__ca <> __cb").select(*keys, "a", "b", "weight", F.col("__ca").alias("ca"), F.col("__cb").alias("cb")))
+        between = met.filter("__ca <> __cb").groupBy(*keys, F.least("__ca", "__cb").alias("ca"), F.greatest("__ca", "__cb").alias("cb")).agg(F.min(F.struct("weight", "a", "b")).alias("x"))
+        live = written(between.select(*keys, "x.a", "x.b", "x.weight", "ca", "cb"))
     out = edges.select(*keys, "a", "b", "weight").limit(0)
     for x in taken:
         out = out.unionByName(x)
@@ -217,7 +252,7 @@ def stable_clusters(weights: np.ndarray, ends: np.ndarray, n: int, size: int, wh
     return label, {c: stability[c] for c in set(label.tolist()) - {-1}}
 
 
-def clusters(df: DataFrame, keys: list[str], id: str, vector: str, size: int, near: int, written: Callable[[DataFrame], DataFrame], distance: Callable = share_apart, side: int = 1024, whole: bool = False) -> DataFrame:
+def clusters(df: DataFrame, keys: list[str], id: str, vector: str, size: int, near: int, written: Callable[[DataFrame], DataFrame], distance: Callable = share_apart, side: int = 4096, whole: bool = False) -> DataFrame:
     """(keys, id, cluster, stability) of each row: the density cluster it is in, numbered from 0 by the clusters' least ids; null where it is in none.
 
     size: the fewest points of a cluster, 2 or more; near: see core_distances(). Rows without an id or a vector go, rows of equal keys and ids are one (the least vector)."""

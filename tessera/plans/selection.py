@@ -135,7 +135,7 @@ e AS (SELECT d.label, d.a, d.b, greatest(d, x.core, y.core) AS weight FROM d JOI
 @query(f"{_REACH} SELECT label, a AS vec_id, round(core, 7) AS core FROM c")
 def q_core_distances(spark, sf_dir):
     """The share of signs in which a vector differs from the third nearest of its label."""
-    return density.core_distances(_signs(spark, sf_dir), ["label"], "vec_id", "signs", 3, side=256).withColumn("core", F.round("core", 7))
+    return density.core_distances(_signs(spark, sf_dir), ["label"], "vec_id", "signs", 3).withColumn("core", F.round("core", 7))
 
 
 @query(f"""{_REACH}, t(label, i, reached, weight) AS (SELECT label, 0, [min(vec_id)], 0::DOUBLE FROM v GROUP BY label
@@ -143,14 +143,14 @@ UNION ALL SELECT label, i + 1, list_append(reached, b), w FROM (SELECT t.label,
 SELECT label, round(weight, 7) AS weight, count(*) AS edges FROM t WHERE i > 0 GROUP BY 1, 2""")
 def q_spanning_tree(spark, sf_dir):
     """How many edges of each weight the least tree over a label's vectors has, by mutual reachability: all such trees have as many."""
-    edges = density.reachability_edges(_signs(spark, sf_dir), ["label"], "vec_id", "signs", 3, graph.written, side=256)
+    edges = density.reachability_edges(_signs(spark, sf_dir), ["label"], "vec_id", "signs", 3, graph.written)
     return density.spanning_tree(edges, ["label"], graph.written).groupBy("label", F.round("weight", 7).alias("weight")).agg(F.count(F.lit(1)).alias("edges"))
 
 
 @query(None)
 def q_density_clusters(spark, sf_dir):
     """The density clusters of a label's vectors by their signs, of three vectors or more."""
-    return density.clusters(_signs(spark, sf_dir), ["label"], "vec_id", "signs", 3, 3, graph.written, side=256).withColumn("stability", F.round("stability", 6))
+    return density.clusters(_signs(spark, sf_dir), ["label"], "vec_id", "signs", 3, 3, graph.written).withColumn("stability", F.round("stability", 6))
 
 
 @query(None)
