@@ -40,10 +40,11 @@ def pool_losses(probabilities: DataFrame, pool: DataFrame, block: str, kind: str
                         if at < len(sites) and sites[at] == c["s"] and c["x"] is not None:
                             haps[k, at] = c["x"]
                 pack = discovery.Pack(np.frombuffer(r["logs"], np.float32).reshape(-1, len(sites), 3).astype(float), wildcard)
-                i, j, loss = pack.losses(haps)
-                cube = np.empty((len(loss), len(haps) + 1, len(haps) + 1))
-                cube[:, i, j] = cube[:, j, i] = loss
-                out.append({block: r[block], "pack": r["pack"], "sites": len(sites), "n": len(loss), "haps": [h["hap"] for h in r["pool"]], "losses": cube.tobytes()})
+                i, j = discovery.pairs(len(haps))
+                cube = np.empty((len(pack.wild), len(haps) + 1, len(haps) + 1))
+                for at, loss in pack.losses(haps):
+                    cube[at : at + len(loss), i, j] = cube[at : at + len(loss), j, i] = loss
+                out.append({block: r[block], "pack": r["pack"], "sites": len(sites), "n": len(cube), "haps": [h["hap"] for h in r["pool"]], "losses": cube.tobytes()})
             yield pd.DataFrame(out, columns=[block, "pack", "sites", "n", "haps", "losses"])
 
     return met.mapInPandas(run, f"`{block}` {kind}, pack int, sites int, n long, haps array<long>, losses binary")
