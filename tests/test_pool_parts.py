@@ -29,6 +29,10 @@ def test_the_choice_finds_the_founders(made):
     assert subset.chosen(made[0], "block", "int", graph.written).select(F.array_sort("haps")).first()[0] == [0, 1, 2]
 
 
+def test_the_enumeration_finds_the_founders(made):
+    assert subset.enumerated(made[0], "block", "int").select(F.array_sort("haps")).first()[0] == [0, 1, 2]
+
+
 def test_losses_are_whole_however_few_samples_come_at_a_time(made, monkeypatch):
     _, pool, p = made
     pack = discovery.Pack(np.log(np.maximum(p, 1e-12)))
