@@ -32,6 +32,7 @@ doc_id, n_shingles and component_id, whatever others the rows have.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, over_arrow, settled, slices, staged
+from .common import discard, documents, free, over_arrow, settled, slices, staged
 from .components import components
 from .textbytes import FOLD, NOT_SPACE, U64, mix, several, shingles, utf8, word_hashes, word_spans
 
@@ -54,7 +55,9 @@ ENOUGH = 6
 SIG_BYTES, KEY_BYTES = 5, 6
 #: Bytes of signature records in a block, and records that a task holds before it deals them out.
 BLOCK_BYTES, HELD = 8 << 20, 1 << 19
-#: Largest group of a signature whose pairs are joined; nodes and bytes of sets of a side of a block in larger ones, and columns of a product.
+#: Bytes of signature records beyond which the shuffle files of finished steps are let go before the next.
+HEAVY = 1 << 28
+#: Largest group of a signature whose pairs are joined; nodes and bytes of sets of a pack in larger ones, and columns of a product.
 FEW, BLOCK_NODES, SIDE_BYTES, COLUMNS = 40, 1000, 16 << 20, 4096
 #: Rows of ids up to which a table is broadcast to a scan (some 16 to 32 MB); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -295,13 +298,8 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return (out.filter("c >= greatest(need_a, need_b)") if "c" in pairs.columns else out).select("a", "b")
 
 
-@settled
-def _blocks(group: pa.Table) -> pa.Table:
-    """Links that tie parts together, among all pairs of one node from either side of a block: a spanning forest of them."""
-    part = np.array(group["part"])
-    node = np.array(group["node"])
-    one = np.array(group["one"])
-    hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["hashes"]]
+def _ties(part: np.ndarray, node: np.ndarray, hashes: list[np.ndarray], one: np.ndarray) -> pa.Table:
+    """Links that tie parts together, among all pairs of one node from either side (one, ~one): a spanning forest of them."""
     size = np.array([len(x) for x in hashes])
     word, place = np.unique(np.concatenate(hashes), return_inverse=True)
     row = np.repeat(np.arange(len(hashes)), size)
@@ -339,13 +337,50 @@ def _blocks(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
 
 
+@settled
+def _blocks(group: pa.Table) -> pa.Table:
+    return _ties(np.array(group["part"]), np.array(group["node"]), [np.frombuffer(x.as_buffer(), np.uint64) for x in group["hashes"]], np.array(group["one"]))
+
+
+#: The columns of a pack that are numbers, and then their sets; a pack is one row.
+_PACK = ("part", "node", "size", "hashes")
+
+
+@settled
+def _pack(key: tuple, group: pa.Table) -> pa.Table:
+    """A chunk of nodes and their sets as one row."""
+    size = np.array([len(x.as_buffer()) // 8 for x in group["hashes"]], np.int64)
+    columns = [np.array(group["part"]).astype(np.int64).tobytes(), np.array(group["node"]).astype(np.int64).tobytes(), size.tobytes(), b"".join(x.as_py() for x in group["hashes"])]
+    return pa.table({"component": [key[0].as_py()], "out": [key[1].as_py()], "at": pa.array([key[2].as_py()], pa.int32())} | {c: pa.array([x], pa.binary()) for c, x in zip(_PACK, columns, strict=True)})
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each two packs; those of a pack with itself too."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            sides = []
+            for end in ("a", "b"):
+                part, node, size, hashes = (np.frombuffer(batch[f"{c}_{end}"][r].as_buffer(), np.uint64 if c == "hashes" else np.int64) for c in _PACK)
+                sides.append((part, node, np.split(hashes, np.cumsum(size)[:-1])))
+            (part, node, one), (other, mate, two) = sides
+            found = _ties(np.concatenate((part, other)), np.concatenate((node, mate)), one + two, np.arange(len(one) + len(two)) < len(one))
+            yield from found.to_batches()
+
+
+def _between(packs: DataFrame) -> DataFrame:
+    """Links of the nodes outside a component's largest part with one another and with that part's. Tasks read the packs of two parts of the table each: none is shuffled again, however many there are."""
+    side = lambda end: packs.select("component", *[F.col(c).alias(f"{c}_{end}") for c in ("out", "at", *_PACK)])
+    met = side("a").filter("out_a").join(side("b").hint("shuffle_replicate_nl"), "component").filter("not out_b or at_a <= at_b")
+    return over_arrow(met.drop("component", "out_a", "out_b", "at_a", "at_b"), _packs, "a long, b long")
+
+
 def _across(placed: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between different parts of the groups of signatures that still hold several.
 
     In a group of at most FEW nodes each pair of different parts is counted, and compared if it shares as many signatures
     as it needs. Larger groups are joined where they share nodes; there, each node outside the largest part is compared
-    with all, in blocks of nodes: a block's pairs are counted by a product of matrices, and only links that tie parts
-    together leave it. A pair that a large group holds is compared there, so the counts of others are whole.
+    with all, in packs of nodes that are written once: the pairs of two packs are counted by a product of matrices, and
+    only links that tie parts together leave it. A pair that a large group holds is compared there, so the counts of others are whole.
     """
     several = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).filter("low < high").select("sig", "size", "lead")
     placed = staged(placed.join(several, "sig"), "open")
@@ -363,15 +398,19 @@ def _across(placed: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     largest = count.groupBy("component").agg(F.max(F.struct("n", "part", "bytes")).alias("most"), F.sum("n").alias("all"), F.sum("bytes").alias("bytes"))
     chunks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK_NODES), F.ceil(size / SIDE_BYTES)).cast("int")
     main = F.col("most.part").alias("main")
-    largest = largest.select("component", main, chunks(F.col("all") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("rows"), chunks(F.col("all"), F.col("bytes")).alias("columns"))
+    largest = largest.select("component", main, chunks(F.col("all") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("rows"), chunks(F.col("most.n"), F.col("most.bytes")).alias("columns"))
     inside = staged(inside.join(largest, "component").drop("bytes"), "clusters")
-    sized = sets.join(_small(inside), "node")
-    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    body = ["component", "node", "part", "hashes"]
-    one = sized.filter("part <> main").withColumn("r", mine("rows")).select(*body, "r", each("columns").alias("c"), F.lit(True).alias("one"))
-    two = sized.withColumn("c", mine("columns")).select(*body, each("rows").alias("r"), "c", F.lit(False).alias("one"))
-    return links.unionByName(one.unionByName(two).groupBy("component", "r", "c").applyInArrow(_blocks, "a long, b long"))
+    sized = sets.join(_small(inside), "node").withColumn("out", F.col("part") != F.col("main"))
+    whole = sized.filter("rows = 1 and columns = 1").select("component", "node", "part", "hashes", "out")
+    each = whole.filter("out").withColumn("one", F.lit(True)).unionByName(whole.withColumn("one", F.lit(False)))
+    links = links.unionByName(each.groupBy("component").applyInArrow(_blocks, "a long, b long"))
+    cut = sized.filter("rows > 1 or columns > 1").withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("rows")).otherwise(F.col("columns"))).cast("int"))
+    if inside.filter("rows > 1 or columns > 1").isEmpty():
+        return links
+    files = math.ceil(math.sqrt(4 * int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # each two of them are a task
+    dealt = cut.select("component", "out", "at", "part", "node", "hashes").repartition(files, "component", "out", "at").groupBy("component", "out", "at")
+    packs = staged(dealt.applyInArrow(_pack, "component long, out boolean, at int, part binary, node binary, size binary, hashes binary"), "packs")
+    return links.unionByName(_between(packs))
 
 
 def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -395,6 +434,9 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     enough = staged(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(known, "key").filter("n >= need"), "enough")
     members = staged(shared.join(_small(enough), "key").select("sig", "node", "n"), "members")
     discard(shared, least)
+    heavy = total * (SIG_BYTES + KEY_BYTES) > HEAVY
+    if heavy:
+        free(df.sparkSession)
     # the text that shares most is the one least edited, so most others are near to it
     lead = members.groupBy("sig").agg(F.max(F.struct("n", (-F.col("node")).alias("node"))).alias("lead"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("sig", (-F.col("lead.node")).alias("lead"))
     met = staged(members.join(lead, "sig").filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("c")), "met")
@@ -404,10 +446,14 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     best = met.groupBy(F.col("node").alias("a")).agg((-F.max(F.struct("c", (-F.col("lead")).alias("b")))["b"]).alias("b"))
     links = staged(_linked(staged(_likely(best, enough), "pairs"), sets).unionByName(tied), "linked")
+    if heavy:
+        free(df.sparkSession)
     found = staged(components(links, "a", "b"), "components")
     placed = members.join(_small(found), "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
     more = staged(_across(placed, sets, enough), "linked")
     discard(members, sets, met, wanted, enough)
+    if heavy:
+        free(df.sparkSession)
     if more.count():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
     where = nodes.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
