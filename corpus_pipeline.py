@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from tessera.llm.common import held_out, staged
+from tessera.llm.common import discard, held_out, staged
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -71,6 +71,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(before)  # no later stage reads it, and it is as large as the input
     return STAGES[-1][1](spark, docs, sf_dir)

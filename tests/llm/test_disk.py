@@ -1,12 +1,14 @@
 """What the n-gram join and the pipeline leave on disk while they run."""
 
+import os
 import random
 
 import numpy as np
 
+import corpus_pipeline
 from tessera.llm import ngram_join
 
-from .cases import by_id, edited, frame, words
+from .cases import by_id, edited, frame, words, written
 from .test_pairs_and_strings import groups, shingle_sets
 
 
@@ -33,3 +35,13 @@ def test_shuffle_files_of_heavy_steps_are_let_go(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HEAVY", 0)
     ngram_join.ngram_components(frame(spark)).count()
     assert len(calls) == 3
+
+
+def test_the_pipeline_keeps_no_table_that_is_read_no_more(spark, monkeypatch, tmp_path):
+    folder = written(tmp_path, documents=frame(spark))
+    made, staged = [], corpus_pipeline.staged
+    monkeypatch.setattr(corpus_pipeline, "staged", lambda df, kind: made.append(staged(df, kind)) or made[-1])
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(x, lambda spark, docs, sf_dir: docs) for x in "abcd"])
+    out = corpus_pipeline.run(spark, folder)
+    assert [os.path.exists(x.staged_at.removeprefix("file:")) for x in made] == [False, False, True]
+    assert out.count() == frame(spark).count()
